@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from karst.llm import simhash
+from karst.llm import decontaminate, mixing, sharding, simhash, tokens
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op3_token_files": tokens.op3_token_files,
+    "op5_shard": sharding.op5_shard,
+    "op8_mix": mixing.op8_mix,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
+}
+ORACLES: dict[str, str] = {
+    "op10_decontaminate": decontaminate.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {}
