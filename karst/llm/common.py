@@ -60,10 +60,13 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Bytes that make up words: all but the ASCII blanks, or letters, digits and non-ASCII alone.
+NOT_BLANK = np.ones(256, bool)
+NOT_BLANK[[32, 9, 10, 11, 12, 13]] = False
+ALPHANUMERIC = np.zeros(256, bool)
+ALPHANUMERIC[48:58] = ALPHANUMERIC[65:91] = ALPHANUMERIC[97:123] = ALPHANUMERIC[128:] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 
@@ -89,7 +92,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], solid: np.ndarray = NOT_BLANK) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of every lower-cased word of the texts, and the number of words of each text.
 
     One vectorised pass over the joined bytes: a polynomial prefix hash modulo
@@ -97,9 +100,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(lengths + 1)
-    raw = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)] if texts else np.zeros(0, np.uint8)
-    solid = ~_BLANK[raw]
-    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    raw = LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)] if texts else np.zeros(0, np.uint8)
+    inside = solid[raw]
+    inside[ends - 1] = False
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     start, stop = edge[::2], edge[1::2]
     up, down = _power_table(len(raw) + 1)
     prefix = np.zeros(len(raw) + 1, np.uint64)
@@ -119,3 +123,40 @@ def chunks(texts: list[bytes], most: int = 4 << 20):
         size += len(t) + 1
     if first < len(texts):
         yield first, len(texts)
+
+
+def text_batches(it, arrays: int = 1):
+    """For each Arrow batch and chunk of it: the chunk's leading columns (ids first) and its texts, the last column."""
+    for b in it:
+        texts = as_bytes(b.column(b.num_columns - 1))
+        for i, j in chunks(texts):
+            yield [b.column(c).slice(i, j - i) for c in range(arrays)], texts[i:j]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], fold: int = 5, seed: int = 42) -> DataFrame:
+    """``(doc_id, label, text, weight)`` of at most ``per_class[label]`` labelled rows of each class outside the held-out fold.
+
+    Rows are picked by a seeded hash of their id; ``weight`` is how many labelled
+    rows of its class a picked row stands for. Several labels of an id: the largest.
+    """
+    usable = labels.where(F.col(label).isNotNull() & (remainder(F.col("doc_id"), fold) != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    counts = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
+    picked = None
+    for k, most in per_class.items():
+        part = usable.where(F.col("label") == k).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most).withColumn("weight", F.lit(max(1.0, counts.get(k, 0) / most)))
+        picked = part if picked is None else picked.union(part)
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", "weight", "text")
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Weighted logistic regression by Newton's method; x has a column of ones. Used to calibrate scores."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (weight * (p - y)) + ridge * w
+        hess = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(hess, grad)
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from karst.llm import decontaminate, mixing, sharding, simhash, tokens
+from karst.llm import decontaminate, mixing, quality, sharding, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op3_token_files": tokens.op3_token_files,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_shard": sharding.op5_shard,
+    "op6_quality": quality.op6_quality,
     "op8_mix": mixing.op8_mix,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
