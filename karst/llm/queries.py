@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from karst.llm import decontaminate, mixing, quality, sharding, simhash, tokens, toxicity
+from karst.llm import decontaminate, lm, mixing, neighbours, quality, sharding, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -10,7 +10,9 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_shard": sharding.op5_shard,
     "op6_quality": quality.op6_quality,
+    "op7_nearest": neighbours.op7_nearest,
     "op8_mix": mixing.op8_mix,
+    "op9_lm_scores": lm.op9_lm_scores,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES: dict[str, str] = {
