@@ -80,7 +80,8 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = 13, k: int = 6) -> tup
         hashed = worded.where(F.size("words") >= n).select("key", F.expr("transform(words, x -> xxhash64(x))").alias("h"))
         near = near.union(hashed.select("key", F.posexplode(F.expr(_gram_hashes("h", n)))).join(of_n, F.col("col") == F.col("g"), "left_semi").select("key", F.col("pos").alias("start"), F.lit(n).alias("len")))
     starts = stored(near.groupBy("key").agg(F.collect_set(F.struct("start", "len")).alias("starts")), "windows")
-    cand = starts.join(docs, "key").select("key", words(F.col("text")).alias("words"), "starts")
+    # always a sort-merge join: one plan at every size, and texts without hits stop at the merge
+    cand = docs.join(starts.hint("merge"), "key").select("key", words(F.col("text")).alias("words"), "starts")
     grammed = cand.select("key", F.explode(F.expr("transform(filter(starts, s -> s.start + s.len <= size(words)), s -> struct(s.start, s.len, array_join(slice(words, s.start + 1, s.len), ' ') as gram))")).alias("s")).select("key", "s.*")
     found = grammed.join(distinct, ["gram", "len"], "left_semi").select("key", "start", "len", "gram").distinct()
     return stored(found, "hits"), grams
