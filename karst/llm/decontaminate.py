@@ -97,7 +97,21 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     ``spans`` are the merged hit runs (first word, number of words); a document
     is contaminated if it has hits and they are at least a twentieth of its words.
     """
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    return _judged(docs, bench, id_col, text_col, item_col, item_text_col, window, k).drop("key")
+
+
+def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, k: int = 6) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated."""
+    bad = stored(_judged(docs, bench, id_col, text_col, item_col, item_text_col, window, k).where("contaminated").select(F.col("key").alias("__bad")).distinct(), "contaminated")
+    return docs.join(bad, _key(id_col, text_col) == F.col("__bad"), "left_anti")
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def _judged(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, k: int) -> DataFrame:
+    key = _key(id_col, text_col)
     keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"))
     found, grams = hits(keyed, bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")), window, k)
     runs = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("stop")))).alias("runs"))
@@ -116,8 +130,8 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     n_hit = F.expr("aggregate(coalesce(spans, array()), 0L, (n, s) -> n + s.stop - s.start)")
     return (
         counted.join(per_doc, "key", "left")
-        .select(id_col, "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.expr("transform(coalesce(spans, array()), s -> struct(s.start as start, s.stop - s.start as n))").alias("spans"))
-        .select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        .select("key", id_col, "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.expr("transform(coalesce(spans, array()), s -> struct(s.start as start, s.stop - s.start as n))").alias("spans"))
+        .select("key", id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
     )
 
 

@@ -122,25 +122,49 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_train: int = MAX_T
     model = rows.mapInArrow(solve, "scaled binary, square binary, bias binary, curve binary, share binary").first()
     if model is None:
         return {"share": 0.5}
+    if model.share:
+        return {"share": float(np.frombuffer(model.share, "<f8")[0])}
     return {k: np.frombuffer(v, "<f8") for k, v in model.asDict().items()}
 
 
+def _scorer(model: dict):
+    """A function from texts to scores."""
+    if "scaled" not in model:
+        share = float(np.ravel(model["share"])[0])
+        return lambda texts: [share] * len(texts)
+    scaled, square, bias, curve = model["scaled"].astype(np.float32), model["square"].astype(np.float32), float(model["bias"][0]), model["curve"]
+
+    def score(texts: list[bytes]) -> list[float]:
+        out = []
+        for i, j in chunks(texts):
+            for r in indicators(texts[i:j]):
+                m = scaled[r].sum(dtype=float) / max(np.sqrt(square[r].sum(dtype=float)), 1e-12) + bias
+                out.append(float(1 / (1 + np.exp(-np.clip(curve[0] * m + curve[1], -30, 30)))))
+        return out
+
+    return score
+
+
 def scores(docs: DataFrame, model: dict) -> DataFrame:
     """``(doc_id, score)`` of whole texts."""
-    if len(model.get("share", ())) or "scaled" not in model:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(float(np.ravel(model["share"])[0])).alias("score"))
-    scaled, square, bias, curve = model["scaled"].astype(np.float32), model["square"].astype(np.float32), float(model["bias"][0]), model["curve"]
+    scorer = _scorer(model)
 
-    def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts, out = as_bytes(b.column(1)), []
-            for i, j in chunks(texts):
-                for r in indicators(texts[i:j]):
-                    m = scaled[r].sum(dtype=float) / max(np.sqrt(square[r].sum(dtype=float)), 1e-12) + bias
-                    out.append(float(1 / (1 + np.exp(-np.clip(curve[0] * m + curve[1], -30, 30)))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer(as_bytes(b.column(1))), pa.float64())], names=["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``least`` or more; one narrow pass."""
+    scorer, at = _scorer(model), docs.columns.index("text")
+
+    def kept(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield b.filter(pa.array([s >= least for s in scorer(as_bytes(b.column(at)))], pa.bool_()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,13 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from karst.llm.common import as_bytes, documents, stored
 from karst.llm.components import connected_components
 
-_FINGERPRINTS = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+_FINGERPRINTS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
 
 
 def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -52,14 +52,18 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``(id, fp)``, fp as a signed long."""
+    """``(id, row, fp)``: row is a hash of all columns, fp the fingerprint as a signed long."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fps = np.array([simhash(t, shingle, seed) for t in as_bytes(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], schema=_FINGERPRINTS)
+            fps = np.array([simhash(t, shingle, seed) for t in as_bytes(b.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], schema=_FINGERPRINTS)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(batches, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), _row(docs).alias("row"), F.col(text_col).alias("text")).mapInArrow(batches, "id long, row long, fp long")
+
+
+def _row(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def ball_links(fps: DataFrame, radius: int = 1) -> DataFrame:
@@ -81,13 +85,28 @@ def ball_links(fps: DataFrame, radius: int = 1) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 1, shingle: int = 3, seed: int = 42) -> DataFrame:
     """``(id_col, fp, component_id)``: one row per row of ``docs``; component_id is the smallest id reachable."""
+    marked, classes = _classes(docs, id_col, text_col, radius, shingle, seed)
+    return marked.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 1, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each group the one of smallest id (of equal ids any one, null ids last)."""
+    marked, classes = _classes(docs, id_col, text_col, radius, shingle, seed)
+    first = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
+    stays = first.join(classes, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.row").alias("__row"))
+    rows = docs.withColumns({"__key": F.col(id_col).cast("long"), "__hash": _row(docs)})
+    kept = rows.join(stays.hint("merge"), (F.col("__hash") == F.col("__row")) & F.col("__key").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["__hash", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, row, fp)`` of each row and ``(fp, root, component_id)`` of each distinct fingerprint."""
     marked = stored(fingerprints(docs, id_col, text_col, shingle, seed), "simhash")
     distinct = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-fps")
     parts = connected_components(ball_links(distinct, radius), "a", "b")
     rooted = distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(rooted.join(least, "root").select("fp", "component_id"), "simhash-classes")
-    return marked.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return marked, stored(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-classes")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
