@@ -9,8 +9,8 @@ temporary name and moved when whole, so a repeated or lost task leaves either
 nothing or the same files.
 
 Words are encoded once for each worker and looked up after that: the tokenizer's
-pieces never reach across ASCII blanks, so a text's ids are its words' ids in
-turn. The cache is bounded and refills; results don't depend on it.
+pieces never reach across ASCII blanks, nor from a letter to punctuation, so a
+text's ids are its words' ids in turn. The cache is bounded and refills; results don't depend on it.
 
 Defined cases: a null text is empty and gets the end id alone; a null id sorts
 first and is stored as the least 64-bit integer (read back as null); repeated
@@ -39,10 +39,23 @@ from karst.llm.common import as_bytes, chunks, documents, new_path
 NULL_ID = -(1 << 63)
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~")] = True
+_PUNCTUATION[ord("|")] = False  # part of the names of special tokens
+#: Ends a text among the words of several; no UTF-8 text has this byte.
+_END = b"\xff"
+
+
 class WordEncoder:
-    """Encodes whole texts through a bounded table of encoded words."""
+    """Encodes whole texts through a bounded table of encoded words.
+
+    Besides blanks, a word ends between an ASCII letter and ASCII punctuation
+    other than an apostrophe: the tokenizer always starts a new piece there.
+    """
 
-    def __init__(self, file: str, end_id: int | None, max_words: int = 400_000):
+    def __init__(self, file: str, end_id: int | None, max_words: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -50,9 +63,11 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[bytes, int] = {_END: 0}
         self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
+        if self.end_id is not None:
+            self.flat[0], self.size[0], self.used = self.end_id, 1, 1
 
     def learn(self, new: list[bytes]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
@@ -70,33 +85,20 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.index) > self.max_words:
             self.clear()
-        words = [t.split() for t in texts]
-        if self.end_id is not None:
-            if b" " not in self.index:
-                self._learn_end()
-            for w in words:
-                w.append(b" ")
-        if new := list(dict.fromkeys(w for w in chain.from_iterable(words) if w not in self.index)):
+        raw = np.frombuffer(b" \xff ".join(texts) + b" \xff", np.uint8)
+        breaks = np.flatnonzero(_LETTER[raw[:-1]] & _PUNCTUATION[raw[1:]]) + 1
+        words = np.insert(raw, breaks, 32).tobytes().split()
+        if new := sorted(set(words).difference(self.index)):
             self.learn(new)
-        codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64)
+        codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         sizes, starts = self.size[codes], self.start[codes]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        per_word = np.concatenate(([0], ends))
-        last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        return ids, np.diff(per_word[last], prepend=0)
-
-    def _learn_end(self) -> None:
-        """The end id as the word made of one blank, which no text has."""
-        self.learn([b" "])
-        at = self.index[b" "]
-        if len(self.flat) == self.used:
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.used] = self.end_id
-        self.start[at], self.size[at] = self.used, 1
-        self.used += 1
+        ids = self.flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])]
+        return ids, np.diff(ends[codes == 0], prepend=0)
 
 
 _encoders: dict[tuple, WordEncoder] = {}

@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -7,10 +8,17 @@ from karst.llm.common import new_path
 from tests.llm.conftest import ODD, SF
 
 
+@functools.cache
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.word_bpe())
+
+
 def direct(text):
     from tokenizers import Tokenizer
 
-    ids = Tokenizer.from_file(tokens.word_bpe()).encode(text or "", add_special_tokens=False).ids + [1]
+    ids = tokenizer().encode(text or "", add_special_tokens=False).ids + [1]
     return len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids
 
 
@@ -46,3 +54,11 @@ def test_small_cache_gives_the_same_ids():
         a, b = small.encode([t]), large.encode([t])
         assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
     assert large.encode([])[0].tolist() == []
+
+
+def test_words_end_only_where_pieces_do():
+    rng = np.random.default_rng(3)
+    parts = ["a", "Z", "don't", "'s", "’s", ".", ",,", "!", "|", "<|endoftext|>", "é", "é", "́", "ß", "İ", "Σ", "ς", "7", "½", " ", "  ", "\n", " ", "\x1c", "\x85", "-", "_", "中", "🙂", "‍", "#", "\\", "`", "ﬁ", "Å"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)]
+    ids, n = tokens.WordEncoder(tokens.word_bpe(), 1).encode([t.encode() for t in texts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [direct(t)[2] for t in texts]
