@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from karst.llm import decontaminate, lm, mixing, neighbours, quality, sharding, simhash, tokens, toxicity
+from karst.llm import decontaminate, lm, mixing, neighbours, quality, sharding, simhash, suffixes, tokens, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_token_files": tokens.op3_token_files,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_shard": sharding.op5_shard,
