@@ -1,0 +1 @@
+"""DataFrame operators: neighbours, hubs and groups, closure, fuzzy graph, layout, evaluation."""

@@ -1,0 +1 @@
+"""Whole plans made of operators: the two-phase projection."""

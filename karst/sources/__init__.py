@@ -1,0 +1 @@
+"""Feature tables and the run log."""

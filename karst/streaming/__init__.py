@@ -1,0 +1 @@
+"""Nothing here yet: all inputs of the projection are bounded tables."""
