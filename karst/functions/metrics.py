@@ -256,8 +256,12 @@ def _(x, y):
     return np.sqrt((lb - both - (sy - log_single_beta(ny))) / ny + (lb - both - (sx - log_single_beta(nx))) / nx)
 
 
+#: Distances of plain values, by function below.
+SCALAR = ("categorical", "ordinal", "hierarchical_categorical", "count", "string")
+
+
 def names() -> list[str]:
-    """All names, aliases included."""
+    """All names of vector metrics, aliases included."""
     return sorted(REGISTRY)
 
 
