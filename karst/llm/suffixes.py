@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,7 +204,7 @@ def repeated_windows(rows: DataFrame, buckets: int, length: int = 100, gram: int
         for b in it:
             own = pa.array([k == 0 for k in b.column(1).to_pylist()], pa.bool_())
             blobs += b.filter(own).column(2).to_pylist()
-            yield b.filter(pa.compute.invert(own))
+            yield b.filter(pc.invert(own))
         _, spans, asked = repeats(unpack(blobs, ANCHORS), hot)
         yield from dealt(joined_spans(spans), SPANS, 1, "d", buckets)
         yield from dealt(asked, ASKED, 2, "d", buckets)
