@@ -272,7 +272,12 @@ def lookup(name: str) -> Metric:
 
 
 def distance(name: str, x: str, y: str, size: int | None = None, **params) -> Column:
-    """The distance of two array columns as an expression.
+    """The distance of two array columns; see ``expression``."""
+    return F.expr(expression(name, x, y, size, **params))
+
+
+def expression(name: str, x: str, y: str, size: int | None = None, **params) -> str:
+    """SQL for the distance of two array columns.
 
     ``c`` (array, or matrix) and ``p`` are the metric's parameters; ``size`` is
     the number of dimensions where the arrays leave out common zeros.
@@ -293,7 +298,9 @@ def distance(name: str, x: str, y: str, size: int | None = None, **params) -> Co
     out = bound(m.formula)
     for name_, term in reversed(m.steps):  # each step is bound once: the formula stands inside a lambda over it
         best, term = term.startswith("max:"), bound(term.removeprefix("max:").strip())
-        if "rowdot(c)" in term:
+        if "rowdot(c)" in term and c is None:
+            values = f"zip_with({x}, {y}, (a, b) -> (a - b) * (a - b))"  # the identity
+        elif "rowdot(c)" in term:
             diff = f"zip_with({x}, {y}, (a, b) -> a - b)"
             rows = "array(" + ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in row) + ")" for row in np.asarray(c)) + ")"
             values = f"zip_with({diff}, {rows}, (e, r) -> e * aggregate(zip_with(r, {diff}, (u, v) -> u * v), 0D, (s, t) -> s + t))"
@@ -305,7 +312,7 @@ def distance(name: str, x: str, y: str, size: int | None = None, **params) -> Co
             values = f"zip_with({x}, {y}, (a, b) -> {re.sub(chr(92) + 'be' + chr(92) + 'b', '(a - b)', plain)})"
         fold = f"aggregate({values}, 0D, (s, t) -> {'greatest(s, t)' if best else 's + t'})"
         out = f"transform(array({fold}), v_{name_} -> {out})[0]"
-    return F.expr(out)
+    return out
 
 
 def block(name: str, x: np.ndarray, y: np.ndarray, **params) -> np.ndarray:
@@ -368,3 +375,12 @@ def sinkhorn(x: np.ndarray, y: np.ndarray, kernel: np.ndarray, cost: np.ndarray,
         v = np.where(t > 0, _ratio(q, t), v)
     plan = v[:, None] * kernel * u[None, :]
     return float((plan * cost)[plan > 0].sum())
+
+
+def register(spark, prefix: str = "dist_") -> list[str]:
+    """Makes every vector metric a SQL function of two arrays, ``dist_euclidean(x, y)`` and so on; gives their names."""
+    made = []
+    for name in names():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(x ARRAY<DOUBLE>, y ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {expression(name, 'x', 'y')}")
+        made.append(prefix + name)
+    return made

@@ -105,3 +105,9 @@ def test_sinkhorn_marginals():
     x, y = np.array([0.5, 0.5]), np.array([0.5, 0.5])
     cost = np.array([[0.0, 1.0], [1.0, 0.0]])
     assert metrics.sinkhorn(x, y, np.exp(-cost * 50), cost) == pytest.approx(0, abs=1e-12)
+
+
+def test_sql_functions(spark):
+    assert len(metrics.register(spark)) == 34
+    r = spark.sql("SELECT dist_euclidean(array(1D, 2D), array(4D, 6D)) AS a, dist_cosine(array(1D, 0D), array(0D, 2D)) AS b, dist_correlation(array(1D, 2D, 3D), array(2D, 4D, 6D)) AS c").first()
+    assert (r.a, r.b) == (5.0, 1.0) and r.c == pytest.approx(0)
