@@ -17,5 +17,6 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": suffixes.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
 }

@@ -335,3 +335,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", F.expr("aggregate(removed, 0L, (n, r) -> n + r.size)").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(b[p:p + 99]) AS s FROM (SELECT doc_id, b, unnest(range(1, n - 98)) AS p FROM d WHERE n >= 100)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 1 ELSE 0 END AS fresh FROM r)),
+s AS (SELECT doc_id, min(p) AS lo, max(p) + 100 AS hi FROM g GROUP BY doc_id, island),
+o AS (SELECT doc_id, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his, sum(hi - lo) AS gone, count(*) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN spans IS NULL THEN b ELSE list_reduce([b[(CASE WHEN i = 1 THEN 1 ELSE his[i - 1] END):(CASE WHEN i > spans THEN n ELSE los[i] - 1 END)] FOR i IN range(1, spans + 2)], lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id)
+"""

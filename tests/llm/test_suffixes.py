@@ -74,3 +74,8 @@ def test_odd_rows(odd, empty, clashing):
     for df in (odd, clashing):
         assert sorted(tuple(r) for r in digest(suffixes.without_repeats(df)).collect()) == want
     assert suffixes.without_repeats(empty).count() == 0
+
+
+def test_query_against_its_sql(spark, duck):
+    got = suffixes.op2_suffix_dedup(spark, SF)
+    assert sorted(tuple(r) for r in got.select(*sorted(got.columns)).collect()) == sorted(duck(SF, suffixes.ORACLE_SQL))
