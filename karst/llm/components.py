@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karst.session import shared_dir
+
 
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -19,6 +21,7 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     ever a skewed side of a sort-merge join, which adaptive execution splits.
     Self loops and nulls are ignored; no edges give no rows.
     """
+    shared_dir(edges.sparkSession)  # where checkpoints go
     e = (
         edges.where(F.col(left) != F.col(right))
         .select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))

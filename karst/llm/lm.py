@@ -197,14 +197,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     counts = stored(word_counts(docs, held, folds), "words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
 
-    # the count from which words are in the table, from a histogram of at most 2**16 rows
-    least, room = 1 << 16, TABLE
-    for r in counts.where(F.col("h") != 0).groupBy(F.least("c", F.lit(1 << 16)).alias("c")).count().orderBy(F.desc("c")).collect():
+    # the grade of count from which words are in the table; counts up to 64 have grades of their own
+    grade = F.floor(F.log2("c") * 64)
+    least, room = 1 << 20, TABLE
+    for r in counts.where(F.col("h") != 0).groupBy(grade.alias("grade")).count().orderBy(F.desc("grade")).collect():  # 4096 rows at most
         room -= r["count"]
         if room < 0:
             break
-        least = r.c
-    common = counts.where((F.col("c") >= least) | (F.col("h") == 0)).orderBy("h").toArrow()
+        least = r.grade
+    common = counts.where((grade >= least) | (F.col("h") == 0)).orderBy("h").toArrow()
     table = common.column("h").to_numpy().view(np.uint64)
     order = np.argsort(table)
     table, table_c = table[order], common.column("c").to_numpy()[order]
@@ -261,7 +262,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     per_doc = stored(docs.mapInArrow(scored, "row long, id long, n long, known long, logs double, score double, hs array<long>, tfs array<int>"), "scored")
     rare = per_doc.select("row", F.explode(F.arrays_zip("hs", "tfs")).alias("w")).select("row", F.col("w.hs").alias("h"), F.col("w.tfs").alias("tf"))
-    met = rare.join(counts.where(F.col("c") < least), "h").groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("rare_logs"))
+    met = rare.join(counts.where(grade < least), "h").groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("rare_logs"))
     logs = F.coalesce("rare_logs", F.lit(0.0))
     return per_doc.drop("hs", "tfs").join(met, "row", "left").select(
         F.col("id").alias(id_col),

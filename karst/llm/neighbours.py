@@ -106,11 +106,13 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(flat, np.float64).reshape(-1, dim)
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``(id, v)``: rows that take part."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> DataFrame:
+    """``(id, v)``: rows that take part; of length ``dim``, or the commonest."""
     v = F.col(vec_col)
     ok = F.expr(f"{id_col} is not null and size(`{vec_col}`) > 0 and forall(`{vec_col}`, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(`{vec_col}`, x -> x <> 0)")
     rows = vectors.where(ok).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    if dim is not None:
+        return rows.where(F.size("v") == dim)
     dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     return rows.where(F.size("v") == (dims.dim if dims else -1))
 
@@ -160,7 +162,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k
     leafed = stored(kept.mapInArrow(filed, f"leaf long, id long, v {v_type}"), "leaves")
     counts = {r.leaf: r["count"] for r in leafed.groupBy("leaf").count().collect()}  # a row for each leaf
 
-    asked = usable(queries, id_col, vec_col).distinct()
+    asked = usable(queries, id_col, vec_col, dim).distinct()
     keyed = stored(asked.select("id", F.xxhash64("v").alias("h"), "v"), "asked")
     classes = keyed.groupBy("v").agg(F.min("id").alias("key"), F.min("h").alias("h"))  # equal queries are one
     tuning = classes.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(CALIBRATION).select("key", "v").toArrow()

@@ -46,6 +46,8 @@ from pyspark.sql import functions as F
 from karst.llm.common import _power_table, as_bytes, documents, mix64, stored
 
 PIECE = 4 << 20
+#: Shards of a table at most; beyond that they grow with it.
+MAX_BUCKETS = 200_000
 ANCHORS = (("h", "<u8"), ("r", "<u8"), ("d", "<i8"), ("lo", "<i8"), ("n", "<i2"))
 SPANS = (("d", "<i8"), ("lo", "<i8"), ("n", "<i8"))
 ASKED = (("h", "<u8"), ("d", "<i8"), ("lo", "<i8"), ("n", "<i2"), ("hot", "<i1"))
@@ -305,7 +307,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(id_col, n_bytes, removed array<struct<start, size>>, kept binary)`` for each row of ``docs``."""
     rows = _numbered(docs, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
+    buckets = max(1, min(MAX_BUCKETS, -(-total // bucket_bytes)))
     spans = repeated_windows(rows, buckets, length, gram, hot)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
 
