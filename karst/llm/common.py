@@ -51,6 +51,7 @@ ALPHANUMERIC[48:58] = ALPHANUMERIC[65:91] = ALPHANUMERIC[97:123] = ALPHANUMERIC[
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
+_PART = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -78,8 +79,8 @@ def mix64(h: np.ndarray) -> np.ndarray:
 def word_hashes(texts: list[bytes], solid: np.ndarray = NOT_BLANK) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of every lower-cased word of the texts, and the number of words of each text.
 
-    One vectorised pass over the joined bytes: a polynomial prefix hash modulo
-    2**64, read off at word boundaries. The joined buffer bounds the memory.
+    A polynomial prefix hash modulo 2**64 of the joined bytes, read off at word
+    boundaries, in parts that bound the memory.
     """
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(lengths + 1)
@@ -88,12 +89,18 @@ def word_hashes(texts: list[bytes], solid: np.ndarray = NOT_BLANK) -> tuple[np.n
     inside[ends - 1] = False
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     start, stop = edge[::2], edge[1::2]
-    up, down = _power_table(len(raw) + 1)
-    prefix = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=prefix[1:])
-    hashes = mix64((prefix[stop] - prefix[start]) * down[start] + (stop - start).astype(np.uint64))
-    per_text = np.diff(np.searchsorted(start, ends), prepend=0)
-    return hashes, per_text
+    hashes = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):  # by parts of some bytes that end with a word
+        j = max(i + 1, int(np.searchsorted(stop, start[i] + _PART, "right")))
+        low, part = start[i], raw[start[i] : stop[j - 1]]
+        up, down = _power_table(len(part) + 1)
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=prefix[1:])
+        a, b = start[i:j] - low, stop[i:j] - low
+        hashes[i:j] = mix64((prefix[b] - prefix[a]) * down[a] + (b - a).astype(np.uint64))
+        i = j
+    return hashes, np.diff(np.searchsorted(start, ends), prepend=0)
 
 
 def chunks(texts: list[bytes], most: int = 4 << 20):

@@ -45,7 +45,9 @@ from pyspark.sql import functions as F
 
 from karst.llm.common import _power_table, as_bytes, documents, mix64, stored
 
-PIECE = 4 << 20
+PIECE = 1 << 20
+#: Runs that a task gathers before it deals them out.
+GATHERED = 400_000
 #: Shards of a table at most; beyond that they grow with it.
 MAX_BUCKETS = 200_000
 ANCHORS = (("h", "<u8"), ("r", "<u8"), ("d", "<i8"), ("lo", "<i8"), ("n", "<i2"))
@@ -88,11 +90,12 @@ def pieces(ids: list[int], texts: list[bytes], length: int, most: int = PIECE) -
     out, size = [], 0
     for i, t in zip(ids, texts):
         for a in range(0, max(len(t) - length + 1, 0), most):
-            out.append((i, a, t[a : a + most + length - 1]))
-            size += len(out[-1][2])
-            if size >= most:
+            piece = t[a : a + most + length - 1]
+            if out and size + len(piece) > most + length:
                 yield out
                 out, size = [], 0
+            out.append((i, a, piece))
+            size += len(piece)
     if out:
         yield out
 
@@ -195,11 +198,21 @@ def repeated_windows(rows: DataFrame, buckets: int, length: int = 100, gram: int
     """``rows(uid, text)`` to ``(uid, spans)``: packed ranges of the starts of windows that occur earlier; only texts that have some."""
 
     def anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            firsts, spans, _ = repeats({k: np.concatenate([a[k] for a in held]) for k, _ in ANCHORS})
+            held.clear()
+            yield from dealt(firsts, ANCHORS, 0, "h", buckets)
+            yield from dealt(joined_spans(spans), SPANS, 1, "d", buckets)
+
         for b in it:
             for part in pieces(b.column(0).to_pylist(), as_bytes(b.column(1)), length):
-                firsts, spans, _ = repeats(runs(part, length, gram))
-                yield from dealt(firsts, ANCHORS, 0, "h", buckets)
-                yield from dealt(joined_spans(spans), SPANS, 1, "d", buckets)
+                held.append(runs(part, length, gram))
+                if sum(len(a["h"]) for a in held) >= GATHERED:
+                    yield from settled()
+        if held:
+            yield from settled()
 
     def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = []
@@ -266,7 +279,7 @@ def repeated_windows(rows: DataFrame, buckets: int, length: int = 100, gram: int
         found = []
         for b in it:
             found += zip(*(c.to_pylist() for c in b.columns[1:]))
-        found.sort(key=lambda x: x[:2])
+        found.sort()
         family, spans = SuffixFamily(length), {"d": [], "lo": []}
 
         def file(some: list) -> None:
