@@ -9,11 +9,14 @@ the order of floating-point sums.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from karst.operators import fuzzy
+from karst.operators import fuzzy, knn
 from karst.session import stored
 
 MAX_HUBS, DRIVER_EDGES = 5_000, 4_000_000
@@ -129,16 +132,62 @@ def minmax(positions: DataFrame, dims: int, top: float = 10.0) -> DataFrame:
     return positions.crossJoin(F.broadcast(ends)).select("id", F.array(*[value(c) for c in range(dims)]).alias("pos"))
 
 
+def nearest_gap(positions: DataFrame) -> float:
+    """Mean distance of a row to its nearest other row in the layout."""
+    near = knn.neighbours(positions.select("id", F.col("pos").alias("features")), 3)
+    other = near.where("i <> j").groupBy("i").agg(F.min("d").alias("d"))
+    return float(other.agg(F.avg("d")).first()[0] or 0)
+
+
 def jittered(positions: DataFrame, dims: int, seed: int = 42) -> DataFrame:
-    """Where rows share a position, all get noise of a thousandth of the mean distance between distinct neighbouring positions (by first coordinate)."""
+    """Where rows share a position, all get noise of a thousandth of ``nearest_gap``."""
     if not positions.groupBy("pos").count().where("count > 1").limit(1).count():
         return positions
-    spread = positions.agg(*_fold(F.col("pos"), dims, F.stddev_pop), F.count("*").alias("n")).first()
-    scale = 0.001 * max([float(spread[c] or 0) for c in range(dims)] + [1e-6]) / max(1.0, spread.n ** (1 / dims))
-    e = noise(seed, dims, scale, "id")
+    e = noise(seed, dims, 0.001 * nearest_gap(stored(positions, "layout")), "id")
     return positions.select("id", F.zip_with("pos", e, lambda a, b: a + b).alias("pos"))
 
 
+def principal_axes(df: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, axes) of a whole table: products summed by partition, the eigenproblem on the driver; signs as in ``init_hubs``."""
+
+    def partial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, product = 0, 0.0, 0.0
+        for b in it:
+            if b.num_rows:
+                x = np.asarray(b.column(0).flatten(), float).reshape(b.num_rows, -1)
+                n, total, product = n + len(x), total + x.sum(0), product + x.T @ x
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": [n], "total": [total.tolist()], "product": [product.ravel().tolist()]})
+
+    parts = df.select("features").mapInArrow(partial, "n long, total array<double>, product array<double>").collect()  # d x d numbers a partition
+    n = sum(r.n for r in parts)
+    mean = np.sum([r.total for r in parts], axis=0) / n
+    cov = np.sum([r.product for r in parts], axis=0).reshape(len(mean), -1) / n - np.outer(mean, mean)
+    _, v = np.linalg.eigh(cov)
+    v = v[:, ::-1][:, :dims].T
+    return mean, v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None]
+
+
+def init_position(df: DataFrame, kind: str, dims: int = 2, spread: float = 0.1, seed: int = 42) -> DataFrame:
+    """A layout of a whole table, less its mean and divided by its largest value: ``pca``, ``random``, or ``class`` (quadrants by label)."""
+    if kind == "pca":
+        mean, axes = principal_axes(df, dims)
+        lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
+        centred = F.zip_with("features", lit(mean), lambda x, m: x - m)
+        pos = F.array(*[F.aggregate(F.zip_with(centred, lit(a), lambda x, y: x * y), F.lit(0.0), lambda s, t: s + t) for a in axes])
+    elif kind == "random":
+        pos = noise(seed, dims, 0.05, "id")
+    elif kind == "class":
+        side = lambda first: F.when(F.pmod("label", F.lit(4)).isin(first), -1.5).otherwise(1.5) * F.col("label")
+        e = noise(seed, 2, spread, "id") if spread else F.array(F.lit(0.0), F.lit(0.0))
+        pos = F.array(side([0, 3]) + e[0], side([0, 1]) + e[1])
+    else:
+        raise ValueError("kind must be 'pca', 'random' or 'class'")
+    rows = df.select("id", pos.alias("pos"))
+    flat = rows.select(F.explode("pos").alias("v")).agg(F.avg("v").alias("mean"), F.max("v").alias("most"))
+    return rows.crossJoin(F.broadcast(flat)).select("id", F.transform("pos", lambda v: (v - F.col("mean")) / F.col("most")).alias("pos"))
+
+
 # local phase --------------------------------------------------------------------
 
 _M = 2147483647

@@ -546,6 +546,22 @@ def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.minmax(_plane(spark, sf_dir), 2).select("id", F.round(F.col("pos")[0], 6).alias("x"), F.round(F.col("pos")[1], 6).alias("y"))
 
 
+@_query(
+    "init_position_class",
+    """WITH p AS (SELECT vec_id AS id, label * 1.5 * CASE WHEN label % 4 IN (0, 3) THEN -1 ELSE 1 END AS x, label * 1.5 * CASE WHEN label % 4 IN (0, 1) THEN -1 ELSE 1 END AS y FROM embeddings),
+    s AS (SELECT (avg(x) + avg(y)) / 2 AS mean, greatest(max(x), max(y)) AS most FROM p) SELECT id, round((x - mean) / most, 6)::DOUBLE AS x, round((y - mean) / most, 6)::DOUBLE AS y FROM p, s""",
+)
+def init_position_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without noise."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label")
+    return layout.init_position(df, "class", spread=0).select("id", F.round(F.col("pos")[0], 6).alias("x"), F.round(F.col("pos")[1], 6).alias("y"))
+
+
+@_query("init_position_pca")
+def init_position_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.init_position(vectors(spark, sf_dir), "pca")
+
+
 @_query("hub_layout")
 def hub_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, _, groups = _groups(spark, sf_dir, 10, 30)

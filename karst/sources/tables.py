@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,3 +96,16 @@ def representatives(sizes: DataFrame, quantiles: tuple[float, ...] = (0.1, 0.5,
     picked = near.groupBy("pos").agg(F.min_by("name", F.struct(F.abs(F.col("n") - F.col("col")), F.col("n"), F.col("name"))).alias("name"))
     marked = sizes.join(picked.select("name").distinct().withColumn("picked", F.lit(0)), "name", "left")
     return marked.orderBy(F.coalesce("picked", F.lit(1)), "n", "name").limit(len(quantiles)).select("name", "n")
+
+
+def discover(root: str) -> list[tuple[str, tuple[int, ...]]]:
+    """(name, shape) of each folder of ``root`` with readable ``data.npy`` and ``label.npy``; scalars are skipped."""
+    found = []
+    for name in sorted(os.listdir(root)):
+        try:
+            shapes = [np.load(os.path.join(root, name, f"{part}.npy"), mmap_mode="r").shape for part in ("data", "label")]
+        except (OSError, ValueError):
+            continue
+        if all(shapes):
+            found.append((name, shapes[0]))
+    return found

@@ -262,3 +262,24 @@ def test_npy_tables(spark, tmp_path):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         assert layout.cross_entropy(np.full((3, 3), 0.5), np.eye(3)[:, :2], 1.5, 0.9) > 0
+
+
+def test_whole_table_positions(spark):
+    x = blobs(90, 5)
+    df = frame(spark, x).repartition(4)
+    got = {r.id: r.pos for r in layout.init_position(df, "pca").collect()}
+    z = layout.init_hubs(x, 2, "pca")
+    z = z - z.mean()
+    assert np.allclose([got[i] for i in range(90)], z / z.max() * np.max([got[i] for i in range(90)]), atol=1e-6)
+    p = frame(spark, x[:, :2]).select("id", F.col("features").alias("pos"))
+    d = metrics.block("euclidean", x[:, :2], x[:, :2]) + np.diag([np.inf] * 90)
+    assert layout.nearest_gap(p) == pytest.approx(d.min(1).mean())
+
+
+def test_discovery(tmp_path):
+    for name, data in (("b", np.zeros((3, 2))), ("a", np.zeros(4)), ("c", np.array(1.0))):
+        (tmp_path / name).mkdir()
+        np.save(tmp_path / name / "data.npy", data)
+        np.save(tmp_path / name / "label.npy", np.zeros(3))
+    (tmp_path / "empty").mkdir()
+    assert tables.discover(str(tmp_path)) == [("a", (4,)), ("b", (3, 2))]
