@@ -1,5 +1,8 @@
 """Held-out accuracy, exactness of the pruned index, and odd rows of both text classifiers."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -52,6 +55,28 @@ def test_block_max_search_is_exact():
         assert [(-round(x, 9), int(index.ids[p])) for p, x in zip(places, cosines)] == want
 
 
+@pytest.mark.parametrize("table", [0, 1 << 18])
+def test_toxicity_cosines_cover_all_words(spark, monkeypatch, table):
+    """Evidence equals that of full vectors, words of no example included; only texts that share no word with an example have none."""
+    monkeypatch.setattr(toxicity, "TABLE", table)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    bags = {r.doc_id: dict(zip(*(x.tolist() for x in next(toxicity.word_bags([(r.text or "").encode()]))))) for r in docs.collect()}
+    df = Counter(w for b in bags.values() for w in b)
+    telling = set(model["terms"].tolist())
+    weight = {w: (1 if w in telling else 0.2) * (math.log((len(bags) + 1) / (n + 1)) + 1e-3) for w, n in df.items()}
+    vectors = {i: {w: (1 + math.log(c)) * weight[w] for w, c in b.items()} for i, b in bags.items()}
+    length = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vectors.items()}
+    examples = [i for i in model["index"].ids.tolist() if vectors[i]]
+    assert 0 < len(telling) < len(df) / 100
+    for r in toxicity.scores(docs, model).collect()[::5]:
+        v = vectors[r.doc_id]
+        dots = {i: sum(x * v[w] for w, x in vectors[i].items() if w in v) for i in examples}
+        want = sorted((-round(d / length[i] / length[r.doc_id], 9), i) for i, d in dots.items() if d > 0)[:15]
+        assert [-round(e.cosine, 9) for e in r.evidence] == pytest.approx([c for c, _ in want], abs=1e-8)
+        assert all(dots[e.example] / length[e.example] / length[r.doc_id] == pytest.approx(e.cosine, abs=1e-8) for e in r.evidence)
+
+
 def test_descent_reaches_the_margin():
     rng = np.random.default_rng(0)
     rows = [np.unique(np.append(rng.integers(2, 50, 5), y)) for y in rng.integers(0, 2, 200)]
