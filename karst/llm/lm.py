@@ -1,15 +1,19 @@
 """Language-model scores from a log-bilinear model trained with noise-contrastive estimation.
 
 Counts of all training words are gathered first (a row for each distinct word of
-a task, then a sum by word). The ``CLASSES`` - 2 commonest words, the end of a
-text and "any other word" are the classes of the neural part: the vectors of
-the two tokens before are scaled by position, added, and multiplied with the
-output vectors. Every partition trains a copy on all its training tokens by
-noise-contrastive estimation, with noise drawn from the class counts, and the
-copies are averaged by their tokens. Normalisers of all pairs of context classes
-come from batched matrix products once, so each probability is normalised over
-the classes exactly. Another word has the probability of that class times its
-own share of it, (c + 1) / (n + v + 1), in which unseen words share one place.
+a task, then a sum by word). All words belong to the classes of the neural part,
+whose number grows with the square root of the vocabulary: half are the
+commonest words, one is the end of a text, and the other words, unseen ones too,
+are dealt to the rest by hash. Classes stand by falling share in bands of equal
+length. The vectors of the classes of the two tokens before are scaled by
+position, added, and multiplied with output vectors: of the bands in one model,
+of the classes in another. Every partition trains a copy of both on all its
+training tokens by noise-contrastive estimation, with noise drawn from the
+counts, and the copies are averaged by their tokens. A class has the probability
+of its band times its own inside the band, each normalised exactly for the
+context at hand. A word of a shared class has the probability of the class times
+its own share of it, (c + 1) / (n + v + 1) over the class, in which the unseen
+words of the class share one place.
 
 A word's count is looked up in a table of the commonest ``TABLE`` words; rarer
 ones are joined by word as one row for each document and word. Words stand as
@@ -22,6 +26,7 @@ one even class; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +37,9 @@ from pyspark.sql import functions as F
 
 from karst.llm.common import documents, id_remainder, stored, text_batches, word_hashes
 
-CLASSES, WIDTH, TABLE = 512, 16, 1 << 18
+#: Classes at least, and how many for each unit of the square root of the vocabulary.
+CLASSES, GROWTH = 512, 4
+WIDTH, TABLE, SLAB = 16, 1 << 18, 1 << 13
 END = np.uint64(0)
 
 
@@ -66,17 +73,31 @@ def word_counts(docs: DataFrame, held: int, folds: int, flush: int = 1 << 21) ->
     return docs.mapInArrow(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+HASH = (1 << 63) - 1
+
+
 class Classes:
-    """Token hashes to classes: 0 .. k - 3 common words, k - 2 any other, k - 1 the end."""
+    """Token hashes to classes: the common words, shared classes by hash, the end; numbered by falling count."""
 
-    def __init__(self, common: np.ndarray):
-        self.common, self.other, self.end, self.size = np.sort(common), len(common), len(common) + 1, len(common) + 2
+    def __init__(self, common: np.ndarray, shared: int):
+        self.common, self.shared, self.size = np.sort(common), shared, len(common) + shared + 1
+        self.number = np.arange(self.size, dtype=np.int32)
+        self.is_shared = np.zeros(self.size, bool)
+        self.is_shared[len(common) : -1] = True
+
+    def sort(self, count: np.ndarray) -> np.ndarray:
+        """Numbers the classes by falling count; the order they had."""
+        order = np.argsort(-count, kind="stable")
+        self.number[order] = np.arange(self.size)
+        self.is_shared = self.is_shared[order]
+        return order
 
     def of(self, h: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.common, h)
         at[at == len(self.common)] = 0
         known = self.common[at] == h if len(self.common) else np.zeros(len(h), bool)
-        return np.where(h == END, self.end, np.where(known, at, self.other)).astype(np.int32)
+        dealt = len(self.common) + ((h & np.uint64(HASH)) % np.uint64(self.shared)).astype(np.int64)
+        return self.number[np.where(h == END, self.size - 1, np.where(known, at, dealt))]
 
 
 def contexts(c: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,12 +111,12 @@ def contexts(c: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.nda
 
 
 class LogBilinear:
-    def __init__(self, share: np.ndarray, width: int = WIDTH, seed: int = 42):
+    def __init__(self, share: np.ndarray, width: int = WIDTH, seed: int = 42, inputs: int | None = None):
         rng = np.random.default_rng(seed)
         k = len(share)
         self.noise = share.astype(np.float32)
         self.parts = {
-            "context": rng.normal(0, 0.1, (k, width)).astype(np.float32),
+            "context": rng.normal(0, 0.1, (inputs or k, width)).astype(np.float32),
             "output": rng.normal(0, 0.1, (k, width)).astype(np.float32),
             "near": np.ones(width, np.float32),
             "far": np.full(width, 0.5, np.float32),
@@ -129,7 +150,7 @@ class LogBilinear:
         grads["bias"] = [(word, up[:, None]), (noise, -down.sum(0)[:, None])]
         for name, terms in grads.items():
             rows, g = np.concatenate([t[0] for t in terms]), np.concatenate([t[1] for t in terms])
-            order = np.argsort(rows, kind="stable")
+            order = np.argsort(rows.astype(np.uint16) if len(self.parts[name]) <= 1 << 16 else rows, kind="stable")  # short keys sort faster
             rows = rows[order]
             first = np.flatnonzero(np.diff(rows, prepend=-1))
             g = np.add.reduceat(g[order], first)
@@ -155,16 +176,54 @@ class LogBilinear:
             self.parts[k], flat = flat[:n].astype(np.float32).reshape(self.parts[k].shape), flat[n:]
 
 
-def train(docs: DataFrame, classes: Classes, share: np.ndarray, held: int, folds: int, batch: int = 4096, draws: int = 48, rate: float = 0.07) -> LogBilinear:
+class TwoLevel:
+    """Bands of classes, and classes inside their band; both from the classes of the context."""
+
+    def __init__(self, share: np.ndarray):
+        self.length = math.isqrt(len(share) - 1) + 1
+        bands = np.add.reduceat(share, np.arange(0, len(share), self.length))
+        self.bands, self.classes = LogBilinear(bands, inputs=len(share)), LogBilinear(share)
+
+    def step(self, one: np.ndarray, two: np.ndarray, c: np.ndarray, rng: np.random.Generator, cumulative: tuple[np.ndarray, np.ndarray], rate: float, draws: int) -> None:
+        self.bands.step(one, two, c // self.length, rng, cumulative[0], rate, draws)
+        self.classes.step(one, two, c, rng, cumulative[1], rate, draws)
+
+    def log10_probability(self, one: np.ndarray, two: np.ndarray, c: np.ndarray) -> np.ndarray:
+        def log_softmax(model: LogBilinear, r: np.ndarray, among: slice, word: np.ndarray) -> np.ndarray:
+            s = r @ model.parts["output"][among].T + model.parts["bias"][among]
+            s -= s.max(1, keepdims=True)
+            own = s[np.arange(len(s)), word]
+            return own - np.log(np.exp(s, out=s).sum(1))
+
+        band = c // self.length
+        out = log_softmax(self.bands, self.bands.predicted(one, two), slice(None), band)
+        r = self.classes.predicted(one, two)
+        order = np.argsort(band.astype(np.uint16), kind="stable")
+        cut = np.flatnonzero(np.diff(band[order], prepend=-1))
+        for at in np.split(order, cut[1:]) if len(order) else ():
+            b = int(band[at[0]]) * self.length
+            out[at] += log_softmax(self.classes, r[at], slice(b, b + self.length), c[at] - b)
+        return out / np.log(10)
+
+    def pack(self) -> bytes:
+        return self.bands.pack() + self.classes.pack()
+
+    def unpack(self, flat: np.ndarray) -> None:
+        n = sum(x.size for x in self.bands.parts.values())
+        self.bands.unpack(flat[:n])
+        self.classes.unpack(flat[n:])
+
+
+def train(docs: DataFrame, classes: Classes, share: np.ndarray, held: int, folds: int, batch: int = 4096, draws: int = 48, rate: float = 0.07) -> TwoLevel:
     """One pass over all training tokens on every partition; the copies are averaged in two steps."""
 
     def fitted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rng, seen = LogBilinear(share), np.random.default_rng(7), 0
-        cumulative = np.cumsum(share)
+        model, rng, seen = TwoLevel(share), np.random.default_rng(7), 0
+        cumulative = np.cumsum(model.bands.noise), np.cumsum(share)
         for (ids,), texts in text_batches(it):
             h, n = tokens(texts)
             c = classes.of(h)
-            one, two = contexts(c, n, classes.end)
+            one, two = contexts(c, n, int(classes.number[-1]))
             use = np.flatnonzero(np.repeat([id_remainder(i, folds) != held for i in ids.to_pylist()], n))
             use = use[rng.permutation(len(use))]
             for a in range(0, len(use), batch):
@@ -174,19 +233,19 @@ def train(docs: DataFrame, classes: Classes, share: np.ndarray, held: int, folds
         if seen:
             yield pa.RecordBatch.from_pydict({"n": [float(seen)], "parts": pa.array([model.pack()], pa.binary())})
 
-    def summed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def averaged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = None, 0.0
         for b in it:
             for n, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 x = n * np.frombuffer(parts, "<f4").astype(np.float64)
                 total, weight = x if total is None else total + x, weight + n
         if total is not None:
-            yield pa.RecordBatch.from_pydict({"n": [weight], "parts": pa.array([total.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"n": [weight], "parts": pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())})
 
-    model = LogBilinear(share)
-    rows = docs.mapInArrow(fitted, "n double, parts binary").repartition(16).mapInArrow(summed, "n double, parts binary").collect()  # 16 rows
+    model = TwoLevel(share)
+    rows = docs.mapInArrow(fitted, "n double, parts binary").repartition(16).mapInArrow(averaged, "n double, parts binary").repartition(1).mapInArrow(averaged, "n double, parts binary").collect()  # one row
     if rows:
-        model.unpack(sum(np.frombuffer(r.parts, "<f8") for r in rows) / sum(r.n for r in rows))
+        model.unpack(np.frombuffer(rows[0].parts, "<f4"))
     return model
 
 
@@ -210,36 +269,43 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     order = np.argsort(table)
     table, table_c = table[order], common.column("c").to_numpy()[order]
     words, words_c = table[table != END], table_c[table != END]
-    top = np.lexsort((words, -words_c))[: CLASSES - 2]
-    classes = Classes(words[top])
-    class_c = np.zeros(classes.size)
-    class_c[: classes.other] = words_c[top][np.argsort(words[top])]
-    class_c[classes.end] = table_c[table == END].sum()
-    class_c[classes.other] = total.n - class_c.sum()
+    size = max(CLASSES, math.ceil(GROWTH * math.sqrt(total.v)))
+    top = np.lexsort((words, -words_c))[: size // 2 - 1]
+    classes = Classes(words[top], size - size // 2)
+    class_c, class_v = np.zeros(classes.size), np.zeros(classes.size)
+    dealt = F.pmod(F.col("h").bitwiseAND(F.lit(HASH)), F.lit(classes.shared))
+    for r in counts.where(F.col("h") != 0).groupBy(dealt.alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():  # a row for each shared class
+        class_c[len(top) + r.g], class_v[len(top) + r.g] = r.c, r.v
+    of = len(top) + ((words[top] & np.uint64(HASH)) % np.uint64(classes.shared)).astype(np.int64)
+    np.subtract.at(class_c, of, words_c[top])
+    np.subtract.at(class_v, of, 1)
+    class_c[: len(top)] = words_c[top][np.argsort(words[top])]
+    class_c[-1] = table_c[table == END].sum()
+    order = classes.sort(class_c)
+    class_c, class_v = class_c[order], class_v[order]
     share = (class_c + 1) / (class_c + 1).sum()
     model = train(docs, classes, share, held, folds)
-    other_total = class_c[classes.other] + total.v - len(top) - (class_c[classes.end] > 0) + 1
-    shared = spark.sparkContext.broadcast((classes, model, model.log10_normalisers(), table, np.log10(table_c + 1.0)))
+    log_total = np.where(classes.is_shared, np.log10(class_c + class_v + 1), 0.0)
+    shared = spark.sparkContext.broadcast((classes, model, log_total, table, np.log10(table_c + 1.0)))
 
     def scored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, model, log_z, table, table_log = shared.value
-        p, row = model.parts, TaskContext.get().partitionId() << 40
+        classes, model, log_total, table, table_log = shared.value
+        row = TaskContext.get().partitionId() << 40
         for (ids,), texts in text_batches(it):
             h, n = tokens(texts)
             of, starts = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
             add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
             c = classes.of(h)
-            one, two = contexts(c, n, classes.end)
+            one, two = contexts(c, n, int(classes.number[-1]))
             log_p = np.empty(len(c))
-            for a in range(0, len(c), 1 << 16):
-                i = slice(a, a + (1 << 16))
-                s = (model.predicted(one[i], two[i]) * p["output"][c[i]]).sum(1) + p["bias"][c[i]]
-                log_p[i] = s / np.log(10) - log_z[one[i] * classes.size + two[i]]
+            for a in range(0, len(c), SLAB):
+                i = slice(a, a + SLAB)
+                log_p[i] = model.log10_probability(one[i], two[i], c[i])
             at = np.searchsorted(table, h)
             at[at == len(table)] = 0
             inside = table[at] == h if len(table) else np.zeros(len(h), bool)
             logs = np.where(inside, table_log[at] if len(table) else 0.0, 0.0)
-            other = c == classes.other
+            other = classes.is_shared[c]
             rest = np.flatnonzero(~inside)
             key = np.empty(len(rest), [("d", "<i8"), ("h", "<u8")])
             key["d"], key["h"] = of[rest], h[rest]
@@ -253,7 +319,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
             offsets = pa.array(np.searchsorted(key["d"], np.arange(len(n) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(row + np.arange(len(n))), ids, pa.array(n), pa.array(add(inside.astype(np.int64))), pa.array(add(logs)), pa.array(add(log_p + np.where(other, logs, 0.0)) - add(other.astype(float)) * np.log10(other_total)),
+                    pa.array(row + np.arange(len(n))), ids, pa.array(n), pa.array(add(inside.astype(np.int64))), pa.array(add(logs)), pa.array(add(log_p + np.where(other, logs, 0.0) - log_total[c])),
                     pa.ListArray.from_arrays(offsets, pa.array(key["h"].view(np.int64).copy())), pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32))),
                 ],
                 names=["row", "id", "n", "known", "logs", "score", "hs", "tfs"],

@@ -62,6 +62,38 @@ def test_model_learns_a_cycle():
     assert (s.argmax(1) == i).all()
 
 
+def test_classes_grow_with_the_vocabulary():
+    """Words beyond the commonest differ as targets and as contexts; probabilities sum to one over the classes."""
+    words = np.random.default_rng(1).integers(1, 1 << 63, 4_000, dtype=np.uint64)
+    classes = lm.Classes(words[:300], 300)
+    c = classes.of(words[300:])
+    assert classes.is_shared[c].all() and len(np.unique(c)) == 300
+    model, rng = lm.TwoLevel(np.full(601, 1 / 601)), np.random.default_rng(0)
+    cumulative = np.cumsum(model.bands.noise), np.cumsum(model.classes.noise)
+    one = rng.permutation(601).astype(np.int32)
+    for _ in range(30):
+        model.step(one, one, (one + 1) % 601, rng, cumulative, 0.1, 48)
+    every = np.arange(601, dtype=np.int32)
+    p = np.array([10 ** model.log10_probability(np.full(601, x), np.full(601, x), every) for x in c[:5]])
+    assert np.allclose(p.sum(1), 1, atol=1e-4)
+    assert len(np.unique(c[:5])) > 1 and np.ptp(p, axis=0).max() > 0
+
+
+def test_all_words_have_neural_probabilities(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "CLASSES", 8)
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda docs, classes, share, *a: seen.append((classes, share)) or train(docs, classes, share, *a))
+    v = []
+    for sf in (SF, "/root/testdata/sf0.01"):
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        lm.lm_scores(docs)
+        v.append(len({w for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for w in toks(r.text)}))
+    for (classes, share), n in zip(seen, v):
+        assert 4 * math.sqrt(n) <= classes.size <= 4 * math.sqrt(n) + 2 and share.sum() == pytest.approx(1)
+    assert seen[1][0].size > seen[0][0].size
+
+
 def test_odd_rows(odd, empty, clashing):
     want = brute([(i, t) for i, t, *_ in ODD])
     for df in (odd, clashing):
