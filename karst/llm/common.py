@@ -43,6 +43,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """All columns, those that hold maps or variants as JSON: what ``xxhash64`` takes."""
+    odd = lambda c: any(x in df.schema[c].dataType.simpleString() for x in ("map<", "variant"))
+    return [F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) if odd(c) else F.col(f"`{c}`") for c in df.columns]
+
+
 #: Bytes that make up words: all but the ASCII blanks, or letters, digits and non-ASCII alone.
 NOT_BLANK = np.ones(256, bool)
 NOT_BLANK[[32, 9, 10, 11, 12, 13]] = False

@@ -12,7 +12,8 @@ data.
 Defined cases: a null or blank text has fingerprint zero and is linked like any
 other; fewer words than a shingle give one shingle of the whole sequence; a null
 id takes part in a group but is never its smallest id; an empty table gives no
-rows. Columns of the input other than id and text are not looked at.
+rows. Of other columns, of any type, only a hash of the whole row is taken, to
+tell rows of equal ids apart.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from karst.llm.common import as_bytes, documents, stored
+from karst.llm.common import as_bytes, documents, hashable, stored
 from karst.llm.components import connected_components
 
 _FINGERPRINTS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _row(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    return F.xxhash64(*hashable(docs))
 
 
 def ball_links(fps: DataFrame, radius: int = 1) -> DataFrame:
