@@ -1,55 +1,43 @@
-"""Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
+"""Mixing sources to target weights by a multivariate-hypergeometric splitting tree, in DataFrame operations only.
 
-Documents fall into hash-permuted blocks, a fixed number for each source. A
+Documents fall into hash-permuted blocks, at most ``BLOCKS`` for each source. A
 source whose target is e times its size and a remainder is drawn in e whole
 passes and part of one more, which ends inside one block, at one document, at
-an exact word. The blocks drawn of each source are its quota; a binary tree
-over the output shards splits all quotas exactly, each node drawing how many
-blocks of each source go left from the multivariate hypergeometric law. Ranges
-of a source's permuted blocks then belong to shards, disjoint by construction,
-and each shard is put in hash order.
-
-What reaches the driver is one row for each block (at most ``MAX_BLOCKS`` in
-all, whatever the data) and one for each source. The rest is scans and
-broadcast joins with that table: documents are not shuffled until a mixture is
-written out.
+an exact word. The (pass, block) pairs drawn of each source are its quota; a
+binary tree over the output shards splits all quotas exactly, each node drawing
+how many go left from the multivariate hypergeometric law. Ranges of the
+permuted pairs then belong to shards, disjoint by construction, and each shard
+is put in hash order. A document's words come from its block's draws alone.
+
+The tree stands on ``STRATA`` strata of sources (sources by rank modulo that
+number, so a source each as long as there are fewer): the pairs of a stratum are
+permuted together, which gives its sources the same law as a leaf each. Only the
+strata's quotas reach the driver, and the level of the water-filling, two
+numbers a round. Sources and blocks are tables, joined by broadcast up to
+``BROADCAST_ROWS`` rows and else by shuffle; documents are not shuffled until a
+mixture is written out.
 
 Defined cases: null and blank texts have size 0, are drawn as often as their
-block and take 0 words; the null source is a source of its own, sorted last; an
-empty table gives no rows; rows equal in source, id and text are cut alike
-(each by an equal share). Results depend on rows and seed only.
+block and take 0 words; a source without words is drawn once; the null source is
+a source of its own, sorted last; an empty table gives no rows; rows equal in
+source, id and text are cut alike, each by an equal whole share, so the cut may
+end up to a word short for each such copy. Results depend on rows and seed only.
 """
 
 from __future__ import annotations
 
 import json
-import random
-from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from karst.llm.common import WORD_PATTERN, documents
-
-MAX_BLOCKS = 1 << 16
+from karst.llm.common import WORD_PATTERN, documents, stored
 
-
-def targets(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[float]:
-    """Shares of the total by weight; a share over ``cap`` times its size stops there, the excess goes to the others by weight."""
-    out, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
-    while open_:
-        whole = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / whole > cap * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = left * weights[i] / whole
-            break
-        for i in over:
-            out[i] = cap * sizes[i]
-        left -= sum(out[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
-    return out
+#: Blocks of a source, finer parts of the block a cut lies in, and strata of the tree.
+BLOCKS, PARTS, STRATA = 256, 4096, 1024
+#: Rows of a table of sources or blocks, some hundred bytes each, up to which it is broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def split_quotas(quotas: np.ndarray, shards: int, seed: int, node: int = 1) -> list[np.ndarray]:
@@ -61,109 +49,129 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int, node: int = 1) -> l
     return split_quotas(draw, left, seed, 2 * node) + split_quotas(quotas - draw, shards - left, seed, 2 * node + 1)
 
 
-@dataclass
-class Source:
-    name: str | None
-    size: int
-    target: float
-    passes: int
-    whole: set[int]  # blocks of the partial pass that are taken whole
-    cut: int  # the block the partial pass ends in, or -1
-    room: int  # words it takes of that block
-
-
-def plan_sources(blocks: dict[str | None, dict[int, int]], weights: tuple[float, ...], cap: float, seed: int) -> list[Source]:
-    """blocks: words by block of each source."""
-    names = sorted(blocks, key=lambda s: (s is None, s or ""))
-    sizes = [sum(blocks[s].values()) for s in names]
-    plan = []
-    for i, (name, size, target) in enumerate(zip(names, sizes, targets(sizes, [weights[i % len(weights)] for i in range(len(names))], cap))):
-        words = round(target)
-        passes, room = divmod(words, size) if size else (1, 0)
-        order, whole, cut = sorted(blocks[name]), set(), -1
-        random.Random(f"{seed}/{i}").shuffle(order)
-        for b in order if room else ():
-            if blocks[name][b] <= room:
-                whole.add(b)
-                room -= blocks[name][b]
-            else:
-                cut = b
-                break
-        plan.append(Source(name, size, target, passes, whole, cut, room))
-    return plan
-
-
-def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A small table as a literal, without leaving the JVM."""
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+def ranked(names: DataFrame) -> DataFrame:
+    """Adds ``rank``: the place of each row of distinct ``name`` by code point, null last, counted part by part."""
+    parts = stored(
+        names.repartitionByRange(F.col("name").asc_nulls_last())
+        .sortWithinPartitions(F.col("name").asc_nulls_last())
+        .withColumn("part", F.spark_partition_id())
+        .withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        "mix-ranks",
+    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))  # a row for each partition
+    return parts.join(F.broadcast(bases), "part").withColumn("rank", F.col("base") + F.col("place")).drop("part", "place", "base")
+
+
+def targets(sources: DataFrame, cap: float = 3.0) -> DataFrame:
+    """``sources(source_size, weight, ...)`` with ``target``: shares of the total by weight; a share over ``cap`` times its size stops there, the excess goes to the others by weight."""
+    level, open_ = 0.0, -1
+    while True:
+        over = F.lit(level) * F.col("weight") > cap * F.col("source_size")
+        r = sources.agg(F.sum("source_size").alias("all"), F.sum(F.when(over, F.col("source_size"))).alias("stopped"), F.sum(F.when(~over, F.col("weight"))).alias("whole"), F.count(F.when(~over, 1)).alias("open")).first()
+        if not r.open or r.open == open_:  # each round stops more sources or is the last
+            break
+        level, open_ = ((r.all or 0) - cap * (r.stopped or 0)) / r.whole, r.open
+    return sources.withColumn("target", F.when(over, cap * F.col("source_size")).otherwise(F.lit(level) * F.col("weight")).cast("double"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _same(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
 
 
 def mixed(docs: DataFrame, shards: int = 16, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` as ``record`` with ``size, source_size, target, taken`` and ``draws`` (array of pass, shard and words)."""
-    spark = docs.sparkSession
-    sources = docs.select(source_col).distinct().count()
-    if sources > MAX_BLOCKS:
-        raise ValueError(f"{sources} sources; a mixture takes {MAX_BLOCKS} at most")
-    per_source = max(1, min(256, MAX_BLOCKS // max(1, sources)))
+    """``docs`` as ``record`` with ``ticket, size, source_size, target, taken`` and ``draws`` (array of pass, shard and words)."""
     ticket = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     sized = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"),
         F.col(source_col).alias("name"),
         ticket.alias("ticket"),
-        F.pmod(F.shiftright(ticket, 17), F.lit(per_source)).cast("int").alias("block"),
+        F.pmod(F.shiftright(ticket, 17), F.lit(BLOCKS)).cast("int").alias("block"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
     )
-    blocks: dict[str | None, dict[int, int]] = {}
-    for name, block, words in sized.groupBy("name", "block").agg(F.sum("size")).toLocalIterator():
-        blocks.setdefault(name, {})[block] = words
-    plan = plan_sources(blocks, weights, cap, seed)
-
-    drawn = []  # for each source, its permuted (pass, block)
-    for i, s in enumerate(plan):
-        items = [(p, b) for p in range(s.passes) for b in sorted(blocks[s.name])] + [(s.passes, b) for b in sorted(s.whole | {s.cut} - {-1})]
-        random.Random(f"{seed}/{i}/order").shuffle(items)
-        drawn.append(items)
-    quotas = split_quotas(np.array([len(x) for x in drawn] or [0], np.int64), shards, seed)
-    draws: dict[tuple[int, int], list] = {}
-    for i, items in enumerate(drawn):
-        at = 0
-        for shard, q in enumerate(quotas):
-            for p, b in items[at : at + int(q[i])]:
-                draws.setdefault((i, b), []).append({"pass": p, "shard": shard})
-            at += int(q[i])
-
-    # where the partial pass ends: equal tickets stand together and share what is left
-    cuts = _table(spark, [{"name": s.name, "block": s.cut, "room": s.room} for s in plan if s.cut >= 0], "name string, block int, room long")
-    at_cut = sized.join(F.broadcast(cuts.withColumnsRenamed({"name": "n", "block": "b"})), F.col("name").eqNullSafe(F.col("n")) & (F.col("block") == F.col("b")))
+    blocks = stored(sized.groupBy("name", "block").agg(F.sum("size").alias("words")), "mix-blocks")
+    sources = ranked(blocks.groupBy("name").agg(F.sum("words").alias("source_size")))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    words = F.round("target").cast("long")
+    sources = stored(
+        targets(stored(sources.withColumn("weight", weight), "mix-sources"), cap)
+        .withColumn("passes", F.expr("if(source_size > 0, cast(round(target) as bigint) div source_size, 1)"))
+        .withColumn("room", F.when(F.col("source_size") > 0, words % F.col("source_size")).otherwise(F.lit(0)).cast("long"))
+        .select(F.col("name").alias("s_name"), "source_size", "target", "passes", "room", (F.col("rank") % STRATA).cast("int").alias("stratum")),
+        "mix-targets",
+    )
+
+    # the partial pass takes whole blocks, in hash order, and ends inside the next
+    order = Window.partitionBy("name").orderBy(F.xxhash64(F.lit(seed), "name", "block"), "block")  # BLOCKS rows
+    upto = F.sum("words").over(order)
+    planned = (
+        blocks.join(_small(sources), _same("name", "s_name"))
+        .withColumn("upto", upto)
+        .withColumn("part", F.expr("case when room > 0 and upto <= room then 1 when room > 0 and upto - words < room then 2 else 0 end"))
+        .withColumn("left", F.expr("if(part = 2, room - upto + words, 0L)"))
+        .drop("s_name", "upto", "room")
+    )
+    planned = stored(planned, "mix-plan")
+
+    # quotas of the strata, split by the tree; pair p of a stratum goes to the shard whose range holds p
+    pairs = planned.select("name", "block", "stratum", F.explode(F.expr("filter(sequence(0L, passes), p -> p < passes or part > 0)")).alias("pass"))
+    quotas = np.zeros(STRATA, np.int64)
+    for r in pairs.groupBy("stratum").count().collect():  # STRATA rows
+        quotas[r.stratum] = r["count"]
+    ends = np.cumsum(split_quotas(quotas, shards, seed), axis=0).T
+    ranges = F.from_json(F.lit(json.dumps(ends.tolist())), "array<array<bigint>>")
+    place = Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed + 1), "name", "block", "pass"), "name", "block", "pass")
+    dealt = (
+        pairs.withColumn("place", F.row_number().over(place) - 1)
+        .withColumn("ends", F.element_at(ranges, F.col("stratum") + 1))
+        .withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("place"))))
+        .where(F.col("shard") < shards)
+        .groupBy(F.col("name").alias("d_name"), F.col("block").alias("d_block"))
+        .agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("items"))
+    )
+
+    # where the partial pass ends: first among the parts of its block, then among the documents of that part
+    cuts = planned.where("part = 2").select(F.col("name").alias("c_name"), F.col("block").alias("c_block"), "left")
+    at_cut = sized.join(_small(cuts), _same("name", "c_name") & (F.col("block") == F.col("c_block"))).select("name", "ticket", "size", "left", F.shiftright("ticket", 64 - (PARTS - 1).bit_length()).alias("fine"))
+    at_cut = stored(at_cut.groupBy("name", "ticket", "fine", "left").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-cuts")
+    fine = Window.partitionBy("name").orderBy("fine")  # PARTS rows
+    in_part = (
+        at_cut.groupBy("name", "fine", "left").agg(F.sum("words").alias("words")).withColumn("upto", F.sum("words").over(fine)).where("upto > left and upto - words <= left")
+        .select(F.col("name").alias("f_name"), F.col("fine").alias("f_fine"), F.expr("left - upto + words").alias("rest"))
+    )
     run = Window.partitionBy("name").orderBy("ticket")
-    ends = {
-        r.name: (r.ticket, r.words)
-        for r in at_cut.groupBy("name", "ticket", "room").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    ended = (
+        at_cut.join(_small(in_part), _same("name", "f_name") & (F.col("fine") == F.col("f_fine")))
         .withColumn("upto", F.sum("words").over(run))
-        .where("upto > room and upto - words <= room")
-        .select("name", "ticket", F.expr("(room - upto + words) div n").alias("words"))
-        .collect()
-    }
-    rows = [
-        {"s_name": s.name, "s_block": b, "source_size": s.size, "target": s.target, "passes": s.passes, "part": 1 if b in s.whole else 2 if b == s.cut else 0, "cut_ticket": ends.get(s.name, (0, 0))[0], "cut_words": ends.get(s.name, (0, 0))[1], "items": draws.get((i, b), [])}
-        for i, s in enumerate(plan)
-        for b in blocks[s.name]
-    ]
-    of_block = _table(spark, rows, "s_name string, s_block int, source_size long, target double, passes int, part int, cut_ticket long, cut_words long, items array<struct<pass:int,shard:int>>")
-    part = F.when(F.col("part") == 1, F.col("size")).when((F.col("part") == 2) & (F.col("ticket") < F.col("cut_ticket")), F.col("size")).when((F.col("part") == 2) & (F.col("ticket") == F.col("cut_ticket")), F.least("cut_words", "size")).otherwise(F.lit(0).cast("long"))
-    in_part = (F.col("part") == 1) | ((F.col("part") == 2) & ((F.col("ticket") < F.col("cut_ticket")) | ((F.col("ticket") == F.col("cut_ticket")) & (F.col("cut_words") > 0))))
+        .where("upto > rest and upto - words <= rest")
+        .select(F.col("name").alias("e_name"), F.col("ticket").alias("cut_ticket"), F.expr("(rest - upto + words) div n").alias("cut_words"))
+    )
+    of_block = stored(
+        planned.join(dealt, _same("name", "d_name") & (F.col("block") == F.col("d_block")), "left")
+        .join(ended, _same("name", "e_name"), "left")
+        .select(F.col("name").alias("p_name"), F.col("block").alias("p_block"), "source_size", "target", "passes", "part", F.coalesce("cut_ticket", F.lit(0).cast("long")).alias("cut_ticket"), F.coalesce("cut_words", F.lit(0).cast("long")).alias("cut_words"), F.coalesce("items", F.expr("cast(array() as array<struct<pass:bigint,shard:int>>)")).alias("items")),
+        "mix-draws",
+    )
+    before_cut = (F.col("part") == 2) & (F.col("ticket") < F.col("cut_ticket"))
+    at_end = (F.col("part") == 2) & (F.col("ticket") == F.col("cut_ticket")) & (F.col("cut_words") > 0)
+    part_words = F.when((F.col("part") == 1) | before_cut, F.col("size")).when(at_end, F.least("cut_words", "size")).otherwise(F.lit(0).cast("long"))
     return (
-        sized.join(F.broadcast(of_block), F.col("name").eqNullSafe(F.col("s_name")) & (F.col("block") == F.col("s_block")))
-        .withColumn("part_words", part)
-        .select(
-            "record", "ticket", "size", "source_size", "target",
-            (F.col("passes") * F.col("size") + F.col("part_words")).alias("taken"),
+        sized.join(_small(of_block), _same("name", "p_name") & (F.col("block") == F.col("p_block")))
+        .withColumn("part_words", part_words)
+        .withColumn("in_part", (F.col("part") == 1) | before_cut | at_end)
+        .withColumn(
+            "draws",
             F.transform(
-                F.filter("items", lambda x: (x["pass"] < F.col("passes")) | in_part),
+                F.filter("items", lambda x: (x["pass"] < F.col("passes")) | F.col("in_part")),
                 lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), F.when(x["pass"] < F.col("passes"), F.col("size")).otherwise(F.col("part_words")).alias("words")),
-            ).alias("draws"),
+            ),
         )
-    )
+        .select("record", "ticket", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("taken"), "draws")
+    )
 
 
 def mixture(mix: DataFrame, text_col: str = "text", seed: int = 42) -> DataFrame:
@@ -183,4 +191,4 @@ def write_mixture(rows: DataFrame, path: str) -> None:
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(documents(spark, sf_dir)).select("record.doc_id", "size", "source_size", "target", "taken")
+    return mixed(documents(spark, sf_dir)).select("record.doc_id", "size", "source_size", "target", "taken", "draws")

@@ -68,3 +68,24 @@ def test_odd_rows(odd, empty, clashing):
     assert sorted((str(r.doc_id), r.size, r.taken) for r in rows) == sorted((str(r.doc_id), r.size, r.taken) for r in again)
     assert mixing.mixed(empty).count() == 0
     assert mixing.mixture(mixing.mixed(empty)).count() == 0
+
+
+def test_words_come_through_the_tree(spark, real, monkeypatch):
+    whole = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, n, *a: [np.zeros_like(x) for x in whole(q, n, *a)])
+    assert not any(r.taken for r in mixing.mixed(real).collect())
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_more_sources_than_strata(spark, monkeypatch, limit):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", limit)
+    docs = spark.range(6_000).selectExpr("id as doc_id", "repeat('a ', cast(1 + id % 7 as int)) as text", "concat('s', id % 2500) as source")
+    rows = mixing.mixed(docs).select("record.source", "size", "taken", "target").collect()
+    size, taken, target = defaultdict(int), defaultdict(int), {}
+    for r in rows:
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 3 * r.size
+    want = brute_targets(size)
+    assert len(rows) == 6_000 and all(target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 1 for s in size)
