@@ -8,9 +8,13 @@ bounded sample of queries the true neighbours are found by a scan of all vectors
 in blocks, and visits widen until the wanted share of them lies in the leaves
 visited. A query widens further until its leaves hold enough vectors.
 
-Leaves are cut into blocks of bounded size by a hash of the id, the queries of a
-leaf likewise, and each pair of blocks is one matrix product, so neither a large
-leaf nor a popular one lands in one task. Equal vectors would fill a leaf
+Neighbouring leaves of the tree make up groups of about ``BLOCK_ROWS`` vectors. A
+query's vector travels once to each group that holds a leaf it visits, is
+compared with the whole group and leaves its k best there, so what is moved grows
+with the groups met and not with the leaves. A group beyond that size (one leaf)
+is cut into blocks by a hash of the id, the queries of a group likewise, and each
+pair of blocks is one matrix product, so neither a large leaf nor a popular one
+lands in one task. Equal vectors would fill a leaf
 without end; since at most k of them can be among the k nearest, only the k + 1
 smallest ids of each distinct vector are filed (found with a partial group
 limit), and equal queries are searched once.
@@ -34,8 +38,10 @@ from pyspark.sql import functions as F
 
 from karst.llm.common import stored
 
-#: Vectors that the tree is fitted to, and queries it is calibrated with, at most.
-FIT_ROWS, CALIBRATION = 16_384, 192
+#: Vectors that the tree is fitted to: these, or one in ``FIT_SHARE`` of a larger table, but not more numbers than ``FIT_NUMBERS``.
+FIT_ROWS, FIT_SHARE, FIT_NUMBERS = 16_384, 64, 1 << 24
+#: Queries that it is calibrated with, at most.
+CALIBRATION = 192
 BRANCHES, LEAF_SAMPLE, BLOCK_ROWS, BLOCK_QUERIES = 8, 48, 4_096, 512
 
 
@@ -43,9 +49,8 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     centres = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
         of = np.argmin((centres**2).sum(1) - 2 * x @ centres.T, axis=1)
-        counts = np.bincount(of, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, of, x)
+        member = of == np.arange(k)[:, None]
+        counts, sums = member.sum(1), member.astype(np.float64) @ x
         empty = counts == 0
         centres = np.where(empty[:, None], x[rng.choice(len(x), k)], sums / np.maximum(counts, 1)[:, None])
     return centres, np.argmin((centres**2).sum(1) - 2 * x @ centres.T, axis=1)
@@ -89,9 +94,22 @@ class Tree:
             todo = todo[[bool(self.children[a]) for a in at[todo]]]
         return at
 
+    def groups(self, counts: dict[int, int], most: int) -> dict[int, int]:
+        """A number for each leaf that has vectors: leaves next to one another in the tree share it as long as they have ``most`` in all."""
+        out, number, held, todo = {}, 0, 0, [0]
+        while todo:
+            node = todo.pop()
+            todo += reversed(self.children[node])
+            if node in counts:
+                if held and held + counts[node] > most:
+                    number, held = number + 1, 0
+                out[node] = number
+                held += counts[node]
+        return out
+
     def visits(self, q: np.ndarray) -> Iterator[int]:
-        """Leaves, best bin first."""
-        best = self.centre @ q + self.spread * np.sqrt(q @ q)
+        """Leaves, best bin first: by the product with the centre and two deviations along the query's direction."""
+        best = self.centre @ q + 2 * self.spread * np.sqrt(q @ q / len(q))
         heap = [(0.0, 0)]
         while heap:
             _, node = heapq.heappop(heap)
@@ -144,10 +162,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
     out = "query_id long, rank int, id long, score double"
-    sample = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(FIT_ROWS).select("v").toArrow().column(0).combine_chunks()
-    if not len(sample):
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    if not size.n:
         return spark.createDataFrame([], out)
-    dim = len(sample[0])
+    dim = size.dim
+    fit = min(max(FIT_ROWS, size.n // FIT_SHARE), max(1, FIT_NUMBERS // dim))
+    sample = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(fit).select("v").toArrow().column(0).combine_chunks()
     tree = Tree(_matrix(sample, dim), seed)
     shared = spark.sparkContext.broadcast(tree)
 
@@ -161,6 +181,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k
     v_type = rows.schema["v"].dataType.simpleString()
     leafed = stored(kept.mapInArrow(filed, f"leaf long, id long, v {v_type}"), "leaves")
     counts = {r.leaf: r["count"] for r in leafed.groupBy("leaf").count().collect()}  # a row for each leaf
+    group = tree.groups(counts, BLOCK_ROWS)
+    group_rows: dict[int, int] = {}
+    for leaf, g in group.items():
+        group_rows[g] = group_rows.get(g, 0) + counts[leaf]
+    grouped = leafed.join(F.broadcast(spark.createDataFrame(sorted(group.items()), "leaf long, grp long")), "leaf").select("grp", "id", "v")
 
     asked = usable(queries, id_col, vec_col, dim).distinct()
     keyed = stored(asked.select("id", F.xxhash64("v").alias("h"), "v"), "asked")
@@ -171,35 +196,45 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k
     where = {i: leaf for leaf, i in leafed.join(F.broadcast(_ids(spark, sorted({i for t in truth.values() for i in t}))), "id", "left_semi").select("leaf", "id").collect()}
     needed = np.zeros(tree.leaves + 1)
     for q, ids in truth.items():
-        place = {leaf: n for n, leaf in enumerate(tree.visits(tune_vecs[q]), 1)}
+        place: dict[int, int] = {}  # the visit that a group is met with
+        for n, leaf in enumerate(tree.visits(tune_vecs[q]), 1):
+            if leaf in group:
+                place.setdefault(group[leaf], n)
         for i in ids:
-            needed[place[where[i]]] += 1 / max(1, sum(map(len, truth.values())))
+            needed[place[group[where[i]]]] += 1 / max(1, sum(map(len, truth.values())))
     widen = int(np.searchsorted(np.cumsum(needed), min(recall, needed.sum()) - 1e-9)) if truth else 1
     widen = max(1, min(tree.leaves, widen + max(1, widen // 10)))  # a tenth more: the calibration queries are a sample
 
     def walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows, leaves = [], []
+            rows, groups = [], []
             for n, q in enumerate(_matrix(b.column(1), dim)):
+                met: set[int] = set()
                 held = 0
                 for m, leaf in enumerate(shared.value.visits(q), 1):
-                    if leaf in counts:
-                        rows.append(n)
-                        leaves.append(leaf)
-                        held += counts[leaf]
-                    if m >= widen and held > 2 * k:
+                    g = group.get(leaf)
+                    if g is not None and g not in met:
+                        met.add(g)
+                        held += group_rows[g]
+                    if m >= widen and held > 2 * k or len(met) == len(group_rows):
                         break
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), *(c.take(pa.array(rows, pa.int64())) for c in b.columns)], names=["leaf", "key", "v"])
+                rows += [n] * len(met)
+                groups += sorted(met)
+                if len(rows) > 1 << 14:  # bounds the batch
+                    yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), *(c.take(pa.array(rows, pa.int64())) for c in b.columns)], names=["grp", "key", "v"])
+                    rows, groups = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), *(c.take(pa.array(rows, pa.int64())) for c in b.columns)], names=["grp", "key", "v"])
 
-    visits = classes.select("key", "v").mapInArrow(walk, f"leaf long, key long, v {v_type}")
+    tasks = max(1, min(10_000, -(-classes.count() // 256)))  # few rows, much to do for each
+    visits = classes.select("key", "v").repartition(tasks, "key").mapInArrow(walk, f"grp long, key long, v {v_type}")
 
     def packed(df: DataFrame, key: str, most: int, name: str) -> DataFrame:
-        """Blocks of a leaf: arrays of ids and vectors of about ``most`` rows."""
-        sizes = df.groupBy("leaf").agg(F.ceil(F.count("*") / most).alias("blocks"))  # a row for each leaf
-        cut = df.join(F.broadcast(sizes), "leaf").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), key), "blocks"))
-        return cut.groupBy("leaf", "block").agg(F.collect_list(F.struct(F.col(key).alias("id"), "v")).alias(name)).select("leaf", name)
+        """Blocks of a group: arrays of ids and vectors of about ``most`` rows."""
+        sizes = df.groupBy("grp").agg(F.ceil(F.count("*") / most).alias("blocks"))  # a row for each group
+        cut = df.join(F.broadcast(sizes), "grp").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), key), "blocks"))
+        return cut.groupBy("grp", "block").agg(F.collect_list(F.struct(F.col(key).alias("id"), "v")).alias(name)).select("grp", name)
 
-    pairs = packed(leafed, "id", BLOCK_ROWS, "xs").join(packed(stored(visits, "visits"), "key", BLOCK_QUERIES, "qs"), "leaf").select("xs", "qs")
+    pairs = packed(grouped, "id", BLOCK_ROWS, "xs").join(packed(stored(visits, "visits"), "key", BLOCK_QUERIES, "qs"), "grp").select("xs", "qs")
 
     def products(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
