@@ -7,20 +7,25 @@ window starts earlier; the removed bytes are the union of the windows that do.
 **Sampling.** Of each window the ``gram`` with the smallest hash is its anchor.
 Equal windows have the same anchor at the same place, so only windows of equal
 anchors need comparing. Windows that follow one another and share an anchor form
-a run (some 25 windows). Runs with the same anchor and the same bytes (64 bits of
-hash each) are a class; all but its earliest run repeat it as a whole. Copies
-inside a chunk are settled where they are read, so a passage in very many
-documents crosses the network once for each chunk. Anchors met once end there;
-an anchor with one class is settled too.
-
-**Suffix arrays.** Runs whose anchor has several classes differ somewhere around
-it, and each of their windows must be compared. They are dealt to shards by
-anchor, and a shard files them in a logarithmic family of suffix arrays: runs
-come in batches in document order, a batch's suffixes are sorted (to the length
-that matters), scanned against every level by merging, and those not met before
-become a level of their own; levels of like size merge, so there are few.
-An anchor with more than ``hot`` classes would fill one shard; its windows are
-dealt one by one, by their own bytes, after dropping those a batch holds twice.
+a run (some 25 windows). A task gathers some megabytes of text and settles runs
+of the same bytes where it reads them, so a passage in very many documents
+crosses the network once for each such gathering. Of the rest only the anchors'
+hashes travel; anchors met once end there.
+
+**Suffix arrays.** Runs whose anchor is met again are dealt to shards by anchor,
+with their bytes. A shard takes runs of the same bytes as one: all but the
+earliest repeat it as a whole. Where an anchor has several runs left, these
+differ somewhere around it, and each of their windows must be compared: they are
+filed in a logarithmic family of suffix arrays. Runs come in batches in document
+order, a batch's suffixes are sorted (to the length that matters), scanned
+against every level by merging, and those not met before become a level of their
+own; levels of like size merge, so there are few. Hashes choose what meets;
+whether strings are equal is decided by their bytes alone.
+
+An anchor of very many different runs would fill one task. Anchors that have more
+than their share of ``hot`` runs in a sample of the documents are not gathered by
+hash at all: their windows are dealt one by one, by their own bytes, after
+dropping those a batch holds twice. The sample decides routes, not results.
 
 Texts move twice: to cut out the runs to compare, and to cut out what goes.
 Anchors and spans travel as packed arrays. Shards are sized by the bytes of the
@@ -35,6 +40,7 @@ columns are ignored. Removed bytes may cut UTF-8 characters: kept bytes are bina
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,9 +56,11 @@ PIECE = 1 << 20
 GATHERED = 400_000
 #: Shards of a table at most; beyond that they grow with it.
 MAX_BUCKETS = 200_000
-ANCHORS = (("h", "<u8"), ("r", "<u8"), ("d", "<i8"), ("lo", "<i8"), ("n", "<i2"))
+#: Hot anchors that a list holds at most.
+MAX_HOT = 1 << 18
+ANCHORS = (("h", "<u8"), ("d", "<i8"), ("lo", "<i4"), ("n", "<i2"))
 SPANS = (("d", "<i8"), ("lo", "<i8"), ("n", "<i8"))
-ASKED = (("h", "<u8"), ("d", "<i8"), ("lo", "<i8"), ("n", "<i2"), ("hot", "<i1"))
+ASKED = (("h", "<u8"), ("d", "<i8"), ("lo", "<i4"), ("n", "<i2"), ("hot", "<i1"))
 
 
 def pack(columns: dict[str, np.ndarray], layout: tuple, rows: np.ndarray | slice = slice(None)) -> bytes:
@@ -101,7 +109,7 @@ def pieces(ids: list[int], texts: list[bytes], length: int, most: int = PIECE) -
 
 
 def runs(part: list[tuple[int, int, bytes]], length: int, gram: int) -> dict[str, np.ndarray]:
-    """Runs of windows that share an anchor: anchor hash ``h``, content hash ``r``, id ``d``, first start ``lo``, windows ``n``."""
+    """Runs of windows that share an anchor: anchor hash ``h``, content hash ``r``, id ``d``, first start ``lo``, windows ``n``, and ``at``, the first start among the bytes of all pieces."""
     raw = np.frombuffer(b"".join(t for *_, t in part), np.uint8)
     up, down = _power_table(len(raw) + 1)
     prefix = np.zeros(len(raw) + 1, np.uint64)
@@ -127,7 +135,7 @@ def runs(part: list[tuple[int, int, bytes]], length: int, gram: int) -> dict[str
     shape = ((at - lo).astype(np.uint64) << np.uint64(20)) + n.astype(np.uint64)
     content = mix64(mix64((prefix[hi] - prefix[lo]) * down[lo]) + shape)
     ids, offsets = np.array([p[0] for p in part], np.int64), np.array([p[1] for p in part], np.int64)
-    return {"h": hashes[at], "r": content, "d": ids[of], "lo": lo - first[of] + offsets[of], "n": n}
+    return {"h": hashes[at], "r": content, "d": ids[of], "lo": lo - first[of] + offsets[of], "n": n, "at": lo}
 
 
 def joined_spans(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -143,21 +151,18 @@ def joined_spans(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"d": d[first], "lo": lo[first], "n": reach[np.append(first[1:], len(d)) - 1] - base[first] - lo[first]}
 
 
-def repeats(a: dict[str, np.ndarray], hot: int | None = None) -> tuple[dict, dict, dict]:
-    """Settles runs by class: the earliest of each, spans of the others, and (with ``hot``) the earliest runs of anchors with several classes."""
+def repeats(a: dict[str, np.ndarray], raw: bytes, length: int) -> tuple[dict, dict]:
+    """The earliest of the runs of equal bytes in ``raw``, and the spans of the others."""
     order = np.lexsort((a["lo"], a["d"], a["r"], a["h"]))
     a = {k: v[order] for k, v in a.items()}
-    new_h = np.diff(a["h"], prepend=~a["h"][:1]) != 0
-    new = new_h | (np.diff(a["r"], prepend=~a["r"][:1]) != 0)
-    spans = {k: a[k][~new].astype(np.int64) for k, _ in SPANS}
-    firsts = {k: v[new] for k, v in a.items()}
-    if hot is None:
-        return firsts, spans, {}
-    group = np.cumsum(new_h[new]) - 1
-    classes = np.bincount(group)[group] if len(group) else group
-    asked = {k: v[classes > 1] for k, v in firsts.items()}
-    asked["hot"] = (classes[classes > 1] > hot).astype(np.int8)
-    return firsts, spans, asked
+    new = (np.diff(a["h"], prepend=~a["h"][:1]) != 0) | (np.diff(a["r"], prepend=~a["r"][:1]) != 0)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    again = np.flatnonzero(~new)
+    ends = a["at"] + a["n"] + length - 1
+    for i, x, x_end, y, y_end in zip(again.tolist(), *(v.tolist() for v in (a["at"][again], ends[again], a["at"][first[again]], ends[first[again]]))):
+        if raw[x:x_end] != raw[y:y_end]:  # equal hashes of unequal bytes: goes on as a run of its own
+            new[i] = True
+    return {k: v[new] for k, v in a.items()}, {k: a[k][~new].astype(np.int64) for k, _ in SPANS}
 
 
 class SuffixFamily:
@@ -197,22 +202,37 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_windows(rows: DataFrame, buckets: int, length: int = 100, gram: int = 48, hot: int = 100_000, batch: int = 1 << 15) -> DataFrame:
     """``rows(uid, text)`` to ``(uid, spans)``: packed ranges of the starts of windows that occur earlier; only texts that have some."""
 
-    def anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def settled() -> Iterator[pa.RecordBatch]:
-            firsts, spans, _ = repeats({k: np.concatenate([a[k] for a in held]) for k, _ in ANCHORS})
-            held.clear()
-            yield from dealt(firsts, ANCHORS, 0, "h", buckets)
-            yield from dealt(joined_spans(spans), SPANS, 1, "d", buckets)
-
+    def gathered(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict]]:
+        held, raw, size = [], [], 0
         for b in it:
             for part in pieces(b.column(0).to_pylist(), as_bytes(b.column(1)), length):
-                held.append(runs(part, length, gram))
+                found = runs(part, length, gram)
+                found["at"] = found["at"] + size
+                held.append(found)
+                raw += [t for *_, t in part]
+                size += sum(len(t) for *_, t in part)
                 if sum(len(a["h"]) for a in held) >= GATHERED:
-                    yield from settled()
+                    yield repeats({k: np.concatenate([a[k] for a in held]) for k in held[0]}, b"".join(raw), length)
+                    held, raw, size = [], [], 0
         if held:
-            yield from settled()
+            yield repeats({k: np.concatenate([a[k] for a in held]) for k in held[0]}, b"".join(raw), length)
+
+    def sampled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for firsts, _ in gathered(it):
+            h, n = np.unique(firsts["h"], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    share = max(1, min(64, hot // 1000))
+    sample = rows.where(F.pmod(F.xxhash64("uid"), F.lit(share)) == 0).select("uid", "text").mapInArrow(sampled, "h long, n long")
+    listed = sample.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > hot // share).orderBy(F.desc("n"), "h").limit(MAX_HOT).select("h").toArrow()
+    busy = np.sort(listed.column(0).to_numpy().view(np.uint64))
+
+    def anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for firsts, spans in gathered(it):
+            one_by_one = np.isin(firsts["h"], busy)
+            yield from dealt({k: v[~one_by_one] for k, v in firsts.items()}, ANCHORS, 0, "h", buckets)
+            yield from dealt({k: v[one_by_one] for k, v in firsts.items()} | {"hot": np.ones(one_by_one.sum(), np.int8)}, ASKED, 2, "d", buckets)
+            yield from dealt(joined_spans(spans), SPANS, 1, "d", buckets)
 
     def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = []
@@ -220,9 +240,11 @@ def repeated_windows(rows: DataFrame, buckets: int, length: int = 100, gram: int
             own = pa.array([k == 0 for k in b.column(1).to_pylist()], pa.bool_())
             blobs += b.filter(own).column(2).to_pylist()
             yield b.filter(pc.invert(own))
-        _, spans, asked = repeats(unpack(blobs, ANCHORS), hot)
-        yield from dealt(joined_spans(spans), SPANS, 1, "d", buckets)
-        yield from dealt(asked, ASKED, 2, "d", buckets)
+        a = unpack(blobs, ANCHORS)
+        order = np.argsort(a["h"], kind="stable")
+        new = np.diff(a["h"][order], prepend=~a["h"][order][:1]) != 0
+        asked = order[~(new & np.append(new[1:], True))]  # anchors met again
+        yield from dealt({k: v[asked] for k, v in a.items()} | {"hot": np.zeros(len(asked), np.int8)}, ASKED, 2, "d", buckets)
 
     matched = stored(rows.select("uid", "text").mapInArrow(anchors, PACKED).repartition(buckets, "bucket").mapInArrow(settle, PACKED), "matched")
 
@@ -242,17 +264,18 @@ def repeated_windows(rows: DataFrame, buckets: int, length: int = 100, gram: int
 
     def cut_out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            shard, hs, ds, los, text = [], [], [], [], []
+            hs, ds, los, text, one = [], [], [], [], []
             held: dict[bytes, int] = {}
             again: list[tuple[int, int, int]] = []
             for t, blob in sorted(zip(as_bytes(b.column(1)), b.column(2).to_pylist()), key=lambda x: x[1][8:16]):
                 a = unpack([blob], ASKED)
                 for h, d, lo, n, one_by_one in zip(*(a[k].tolist() for k, _ in ASKED)):
                     if not one_by_one:
-                        shard.append(h % buckets)
+                        hs.append(h)
                         los.append(lo)
                         text.append(t[lo : lo + n + length - 1])
                         ds.append(d)
+                        one.append(False)
                         continue
                     for p in range(lo, lo + n):
                         w = t[p : p + length]
@@ -260,7 +283,8 @@ def repeated_windows(rows: DataFrame, buckets: int, length: int = 100, gram: int
                             again.append((held[w], d, p))
                         else:
                             held[w] = len(text)
-                            shard.append(int(mix64(np.frombuffer(w[: length // 8 * 8], "<u8") * np.arange(1, 2 * (length // 8), 2, dtype=np.uint64)).sum() % np.uint64(buckets)))
+                            hs.append(int(mix64(np.frombuffer(w[: length // 8 * 8], "<u8") * np.arange(1, 2 * (length // 8), 2, dtype=np.uint64)).sum()))
+                            one.append(True)
                             los.append(p)
                             text.append(w)
                             ds.append(d)
@@ -271,47 +295,60 @@ def repeated_windows(rows: DataFrame, buckets: int, length: int = 100, gram: int
                     d, p, ds[at], los[at] = ds[at], los[at], d, p
                 repeat_d.append(d)
                 repeat_lo.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(ds, pa.int64()), pa.array(los, pa.int64()), pa.array(text, pa.binary())], names=["shard", "d", "lo", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(ds, pa.int64()), pa.array(los, pa.int64()), pa.array(text, pa.binary()), pa.array(one, pa.bool_())], names=["h", "d", "lo", "text", "one"])
             if repeat_d:
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - d % buckets for d in repeat_d], pa.int64()), pa.array(repeat_d, pa.int64()), pa.array(repeat_lo, pa.int64()), pa.array([b""] * len(repeat_d), pa.binary())], names=["shard", "d", "lo", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(repeat_d, pa.int64()), pa.array(repeat_d, pa.int64()), pa.array(repeat_lo, pa.int64()), pa.array([b""] * len(repeat_d), pa.binary()), pa.array([True] * len(repeat_d), pa.bool_())], names=["h", "d", "lo", "text", "one"])
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for b in it:
-            found += zip(*(c.to_pylist() for c in b.columns[1:]))
+            found += zip(*(c.to_pylist() for c in (b.column(1), b.column(2), b.column(3), b.column(0), b.column(4))))
         found.sort()
-        family, spans = SuffixFamily(length), {"d": [], "lo": []}
+        family, spans = SuffixFamily(length), {"d": [], "lo": [], "n": []}
+
+        def repeated(d: np.ndarray, lo: np.ndarray, n: np.ndarray) -> None:
+            for k, v in zip(spans, (d, lo, n)):
+                spans[k].append(v)
+
+        # of runs of the same bytes the earliest stands for all; one that is empty is known to repeat
+        met: set[bytes] = {b""}
+        left, again, left_of = [], [], Counter()
+        for x in found:
+            if x[2] in met:
+                again.append((x[0], x[1], max(1, len(x[2]) - length + 1)))
+            else:
+                met.add(x[2])
+                if not x[4]:
+                    left.append(x)
+                    left_of[x[3]] += 1
+        if again:
+            repeated(*np.array(again, np.int64).T)
 
         def file(some: list) -> None:
-            raw = np.frombuffer(b"".join(t for *_, t in some), np.uint8)
-            sizes = np.array([len(t) for *_, t in some])
+            raw = np.frombuffer(b"".join(x[2] for x in some), np.uint8)
+            sizes = np.array([len(x[2]) for x in some])
             windows = sizes - length + 1
             inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
             at = inside + np.repeat(np.cumsum(sizes) - sizes, windows)
-            met = family.seen(np.lib.stride_tricks.sliding_window_view(raw, length)[at])
-            spans["d"].append(np.repeat([x[0] for x in some], windows)[met])
-            spans["lo"].append((inside + np.repeat([x[1] for x in some], windows))[met])
+            seen = family.seen(np.lib.stride_tricks.sliding_window_view(raw, length)[at])
+            repeated(np.repeat([x[0] for x in some], windows)[seen], (inside + np.repeat([x[1] for x in some], windows))[seen], np.ones(seen.sum(), np.int64))
 
         some, size = [], 0
-        for x in found:
-            if not x[2]:  # already known to repeat
-                spans["d"].append(np.array([x[0]]))
-                spans["lo"].append(np.array([x[1]]))
-                continue
-            some.append(x)
-            size += len(x[2]) - length + 1
+        for x in left:
+            if left_of[x[3]] > 1:
+                some.append(x)
+                size += len(x[2]) - length + 1
             if size >= batch:
                 file(some)
                 some, size = [], 0
         if some:
             file(some)
         if spans["d"]:
-            d, lo = np.concatenate(spans["d"]).astype(np.int64), np.concatenate(spans["lo"]).astype(np.int64)
-            yield from dealt(joined_spans({"d": d, "lo": lo, "n": np.ones(len(d), np.int64)}), SPANS, 1, "d", buckets)
+            yield from dealt(joined_spans({k: np.concatenate(v).astype(np.int64) for k, v in spans.items()}), SPANS, 1, "d", buckets)
 
     asked = matched.where("kind = 2").repartition(buckets, "bucket").mapInArrow(by_text(ASKED), "uid long, packed binary")
-    cut = rows.select("uid", "text").join(asked.hint("merge"), "uid").select("uid", "text", "packed").mapInArrow(cut_out, "shard long, d long, lo long, text binary")
-    scanned = cut.repartition(buckets, "shard").mapInArrow(scan, PACKED)
+    cut = rows.select("uid", "text").join(asked.hint("merge"), "uid").select("uid", "text", "packed").mapInArrow(cut_out, "h long, d long, lo long, text binary, one boolean")
+    scanned = cut.repartition(buckets, "h").mapInArrow(scan, PACKED)
     spans = matched.where("kind = 1").union(scanned).repartition(buckets, "bucket")
     return spans.mapInArrow(by_text(SPANS), "uid long, packed binary").withColumnRenamed("packed", "spans")
 
