@@ -63,18 +63,44 @@ SPANS = (("d", "<i8"), ("lo", "<i8"), ("n", "<i8"))
 ASKED = (("h", "<u8"), ("d", "<i8"), ("lo", "<i4"), ("n", "<i2"), ("hot", "<i1"))
 
 
-def pack(columns: dict[str, np.ndarray], layout: tuple, rows: np.ndarray | slice = slice(None)) -> bytes:
-    return b"".join(columns[name][rows].astype(kind).tobytes() for name, kind in layout)
+#: Runs as they are dealt to shards; their bytes follow.
+RUNS = (("h", "<u8"), ("d", "<i8"), ("lo", "<i4"), ("size", "<i4"), ("one", "<i1"))
+#: Packed bytes from which they are compressed.
+LEAST = 256
+
+
+def squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if len(raw) >= LEAST else raw)
+
+
+def widened(blob: bytes) -> bytes:
+    size = int.from_bytes(blob[:8], "little")
+    return pa.decompress(blob[8:], size, "zstd", asbytes=True) if size >= LEAST else blob[8:]
+
+
+def pack(columns: dict[str, np.ndarray], layout: tuple, rows: np.ndarray | slice = slice(None), tail: bytes = b"") -> bytes:
+    """Columns one after the other, ids and starts as differences, then ``tail``; compressed."""
+    parts = []
+    for name, kind in layout:
+        v = columns[name][rows].astype(kind)
+        parts.append((np.diff(v, prepend=v.dtype.type(0)) if name in ("d", "lo") else v).tobytes())
+    return squeezed(len(v).to_bytes(8, "little") + b"".join(parts) + tail)
+
+
+def _columns(raw: bytes, layout: tuple) -> tuple[dict[str, np.ndarray], int]:
+    n, at, out = int.from_bytes(raw[:8], "little"), 8, {}
+    for name, kind in layout:
+        v = np.frombuffer(raw, kind, n, at)
+        out[name] = np.cumsum(v, dtype=v.dtype) if name in ("d", "lo") else v
+        at += v.nbytes
+    return out, at
 
 
 def unpack(blobs: list[bytes], layout: tuple) -> dict[str, np.ndarray]:
-    width = sum(np.dtype(kind).itemsize for _, kind in layout)
     parts: dict[str, list] = {name: [np.zeros(0, kind)] for name, kind in layout}
     for b in blobs:
-        n, at = len(b) // width, 0
-        for name, kind in layout:
-            parts[name].append(np.frombuffer(b, kind, n, at))
-            at += n * np.dtype(kind).itemsize
+        for name, v in _columns(widened(b), layout)[0].items():
+            parts[name].append(v)
     return {name: np.concatenate(x) for name, x in parts.items()}
 
 
@@ -267,7 +293,7 @@ def repeated_windows(rows: DataFrame, buckets: int, length: int = 100, gram: int
             hs, ds, los, text, one = [], [], [], [], []
             held: dict[bytes, int] = {}
             again: list[tuple[int, int, int]] = []
-            for t, blob in sorted(zip(as_bytes(b.column(1)), b.column(2).to_pylist()), key=lambda x: x[1][8:16]):
+            for _, t, blob in sorted(zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist())):
                 a = unpack([blob], ASKED)
                 for h, d, lo, n, one_by_one in zip(*(a[k].tolist() for k, _ in ASKED)):
                     if not one_by_one:
@@ -295,14 +321,24 @@ def repeated_windows(rows: DataFrame, buckets: int, length: int = 100, gram: int
                     d, p, ds[at], los[at] = ds[at], los[at], d, p
                 repeat_d.append(d)
                 repeat_lo.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(ds, pa.int64()), pa.array(los, pa.int64()), pa.array(text, pa.binary()), pa.array(one, pa.bool_())], names=["h", "d", "lo", "text", "one"])
-            if repeat_d:
-                yield pa.RecordBatch.from_arrays([pa.array(repeat_d, pa.int64()), pa.array(repeat_d, pa.int64()), pa.array(repeat_lo, pa.int64()), pa.array([b""] * len(repeat_d), pa.binary()), pa.array([True] * len(repeat_d), pa.bool_())], names=["h", "d", "lo", "text", "one"])
+            hs += [d % (1 << 64) for d in repeat_d]
+            text += [b""] * len(repeat_d)
+            columns = {"h": np.array(hs, np.uint64), "d": np.array(ds + repeat_d, np.int64), "lo": np.array(los + repeat_lo, np.int64), "size": np.array([len(t) for t in text], np.int64), "one": np.array(one + [True] * len(repeat_d), np.int8)}
+            bucket = (mix64(columns["h"].copy()) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+            for x, y in zip(cut, cut[1:]):
+                own = order[x:y]
+                blob = pack(columns, RUNS, own, b"".join(text[i] for i in own.tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[own[0]]], pa.int32()), pa.array([3], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
-        for b in it:
-            found += zip(*(c.to_pylist() for c in (b.column(1), b.column(2), b.column(3), b.column(0), b.column(4))))
+        for blob in (x for b in it for x in b.column(2).to_pylist()):
+            raw = widened(blob)
+            a, at = _columns(raw, RUNS)
+            ends = at + np.cumsum(a["size"], dtype=np.int64)
+            found += [(d, lo, raw[x:y], h, one) for h, d, lo, one, x, y in zip(*(a[k].tolist() for k in ("h", "d", "lo", "one")), (ends - a["size"]).tolist(), ends.tolist())]
         found.sort()
         family, spans = SuffixFamily(length), {"d": [], "lo": [], "n": []}
 
@@ -347,8 +383,8 @@ def repeated_windows(rows: DataFrame, buckets: int, length: int = 100, gram: int
             yield from dealt(joined_spans({k: np.concatenate(v).astype(np.int64) for k, v in spans.items()}), SPANS, 1, "d", buckets)
 
     asked = matched.where("kind = 2").repartition(buckets, "bucket").mapInArrow(by_text(ASKED), "uid long, packed binary")
-    cut = rows.select("uid", "text").join(asked.hint("merge"), "uid").select("uid", "text", "packed").mapInArrow(cut_out, "h long, d long, lo long, text binary, one boolean")
-    scanned = cut.repartition(buckets, "h").mapInArrow(scan, PACKED)
+    cut = rows.select("uid", "text").join(asked.hint("merge"), "uid").select("uid", "text", "packed").mapInArrow(cut_out, PACKED)
+    scanned = cut.repartition(buckets, "bucket").mapInArrow(scan, PACKED)
     spans = matched.where("kind = 1").union(scanned).repartition(buckets, "bucket")
     return spans.mapInArrow(by_text(SPANS), "uid long, packed binary").withColumnRenamed("packed", "spans")
 
