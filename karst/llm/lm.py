@@ -7,9 +7,11 @@ commonest words, one is the end of a text, and the other words, unseen ones too,
 are dealt to the rest by hash. Classes stand by falling share in bands of equal
 length. The vectors of the classes of the two tokens before are scaled by
 position, added, and multiplied with output vectors: of the bands in one model,
-of the classes in another. Every partition trains a copy of both on all its
-training tokens by noise-contrastive estimation, with noise drawn from the
-counts, and the copies are averaged by their tokens. A class has the probability
+of the classes in another. The training texts, as classes, are dealt by hash into parts of
+some ``COPY_TOKENS`` tokens, in hash order; each part trains a copy of both on
+all its tokens by noise-contrastive estimation, with noise drawn from the
+counts, and the copies are averaged by their tokens, so the scores are a
+function of the rows and not of how the table is partitioned. A class has the probability
 of its band times its own inside the band, each normalised exactly for the
 context at hand. A word of a shared class has the probability of the class times
 its own share of it, (c + 1) / (n + v + 1) over the class, in which the unseen
@@ -40,6 +42,8 @@ from karst.llm.common import documents, id_remainder, stored, text_batches, word
 #: Classes at least, and how many for each unit of the square root of the vocabulary.
 CLASSES, GROWTH = 512, 4
 WIDTH, TABLE, SLAB = 16, 1 << 18, 1 << 13
+#: Training tokens of a copy, as long as there are not more copies than ``MAX_COPIES``; tokens that a copy's batches are drawn from at once.
+COPY_TOKENS, MAX_COPIES, DRAWN = 1 << 21, 1 << 16, 1 << 19
 END = np.uint64(0)
 
 
@@ -136,17 +140,24 @@ class LogBilinear:
     def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, rng: np.random.Generator, cumulative: np.ndarray, rate: float, draws: int) -> None:
         p = self.parts
         noise = np.searchsorted(cumulative, rng.random(draws)).clip(max=len(cumulative) - 1)
-        r = self.predicted(one, two)
+        ctx1, ctx2, own, other = p["context"][one], p["context"][two], p["output"][word], p["output"][noise]
+        r = ctx1 * p["near"]
+        r += ctx2 * p["far"]
         log_noise = np.log(draws * self.noise)
-        d = (r * p["output"][word]).sum(1) + p["bias"][word] - log_noise[word]
-        e = r @ p["output"][noise].T + p["bias"][noise] - log_noise[noise]
-        up = 1 / (1 + np.exp(np.clip(d, -30, 30)))  # 1 - P(data)
-        down = 1 / (1 + np.exp(-np.clip(e, -30, 30)))  # P(noise taken for data)
-        grad_r = up[:, None] * p["output"][word] - down @ p["output"][noise]
+        offset = p["bias"] - log_noise
+        up = np.einsum("ij,ij->i", r, own) + offset[word]
+        up = 1 / (1 + np.exp(np.clip(up, -30, 30)))  # 1 - P(data)
+        down = r @ -other.T
+        down -= offset[noise]
+        np.minimum(down, 30, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.reciprocal(down, out=down)  # P(noise taken for data)
+        grad_r = up[:, None] * own
+        grad_r -= down @ other
         grads = {"output": [(word, up[:, None] * r), (noise, -(down.T @ r))], "context": [(one, grad_r * p["near"]), (two, grad_r * p["far"])]}
-        ctx1, ctx2 = p["context"][one], p["context"][two]
-        self.move("near", slice(None), (grad_r * ctx1).sum(0), rate)
-        self.move("far", slice(None), (grad_r * ctx2).sum(0), rate)
+        self.move("near", slice(None), np.einsum("ij,ij->j", grad_r, ctx1), rate)
+        self.move("far", slice(None), np.einsum("ij,ij->j", grad_r, ctx2), rate)
         grads["bias"] = [(word, up[:, None]), (noise, -down.sum(0)[:, None])]
         for name, terms in grads.items():
             rows, g = np.concatenate([t[0] for t in terms]), np.concatenate([t[1] for t in terms])
@@ -190,7 +201,8 @@ class TwoLevel:
 
     def log10_probability(self, one: np.ndarray, two: np.ndarray, c: np.ndarray) -> np.ndarray:
         def log_softmax(model: LogBilinear, r: np.ndarray, among: slice, word: np.ndarray) -> np.ndarray:
-            s = r @ model.parts["output"][among].T + model.parts["bias"][among]
+            s = r @ model.parts["output"][among].T
+            s += model.parts["bias"][among]
             s -= s.max(1, keepdims=True)
             own = s[np.arange(len(s)), word]
             return own - np.log(np.exp(s, out=s).sum(1))
@@ -214,41 +226,92 @@ class TwoLevel:
         self.classes.unpack(flat[n:])
 
 
-def train(docs: DataFrame, classes: Classes, share: np.ndarray, held: int, folds: int, batch: int = 4096, draws: int = 48, rate: float = 0.07) -> TwoLevel:
-    """One pass over all training tokens on every partition; the copies are averaged in two steps."""
+def train(docs: DataFrame, classes: Classes, share: np.ndarray, held: int, folds: int, tokens_in_all: int, batch: int = 4096, draws: int = 48, rate: float = 0.07) -> TwoLevel:
+    """One pass over all training tokens, in copies that are averaged in two steps."""
+    copies = max(1, min(MAX_COPIES, tokens_in_all // COPY_TOKENS))
+    heaps = math.isqrt(copies)
+    width = "<u2" if classes.size <= 1 << 16 else "<u4"
+
+    def coded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (ids, part, order), texts in text_batches(it, 3):
+            use = np.flatnonzero([id_remainder(i, folds) != held for i in ids.to_pylist()])
+            h, n = tokens([texts[i] for i in use.tolist()])
+            ends = np.cumsum(n)
+            c = classes.of(h).astype(width)
+            blobs = [c[x:y].tobytes() for x, y in zip((ends - n).tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([part.take(pa.array(use)), order.take(pa.array(use)), pa.array(blobs, pa.binary())], names=["part", "place", "classes"])
 
     def fitted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rng, seen = TwoLevel(share), np.random.default_rng(7), 0
-        cumulative = np.cumsum(model.bands.noise), np.cumsum(share)
-        for (ids,), texts in text_batches(it):
-            h, n = tokens(texts)
-            c = classes.of(h)
-            one, two = contexts(c, n, int(classes.number[-1]))
-            use = np.flatnonzero(np.repeat([id_remainder(i, folds) != held for i in ids.to_pylist()], n))
-            use = use[rng.permutation(len(use))]
+        models: dict[int, list] = {}
+        end, held_texts, size = int(classes.number[-1]), [], 0
+
+        def learn(part: int) -> None:
+            if part not in models:
+                models[part] = [TwoLevel(share), np.random.default_rng([7, part]), 0]
+            model, rng, seen = models[part]
+            c = np.concatenate(held_texts).astype(np.int32)
+            one, two = contexts(c, np.array([len(x) for x in held_texts]), end)
+            use = rng.permutation(len(c))
             for a in range(0, len(use), batch):
                 at = use[a : a + batch]
                 model.step(one[at], two[at], c[at], rng, cumulative, rate / (1 + seen / 4e6), draws)
                 seen += len(at)
-        if seen:
-            yield pa.RecordBatch.from_pydict({"n": [float(seen)], "parts": pa.array([model.pack()], pa.binary())})
+            models[part][2] = seen
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            for part, (model, _, seen) in models.items():
+                yield pa.RecordBatch.from_pydict({"part": [part], "n": [float(seen)], "parts": pa.array([model.pack()], pa.binary())})
+            models.clear()
+
+        start = TwoLevel(share)
+        cumulative = np.cumsum(start.bands.noise), np.cumsum(share)
+        now = None
+        for b in it:  # by part, in order
+            for part, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if now is not None and (part != now or size >= DRAWN):
+                    learn(now)
+                    held_texts, size = [], 0
+                    if part != now:
+                        yield from packed()
+                now = part
+                held_texts.append(np.frombuffer(blob, width))
+                size += len(held_texts[-1])
+        if now is not None:
+            learn(now)
+            yield from packed()
 
     def averaged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = None, 0.0
-        for b in it:
-            for n, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = n * np.frombuffer(parts, "<f4").astype(np.float64)
-                total, weight = x if total is None else total + x, weight + n
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"n": [weight], "parts": pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())})
+        found: dict[int, list] = {}
+        for b in it:  # by heap, in order
+            for part, n, parts in zip(*(b.column(c).to_pylist() for c in range(3))):
+                total = found.setdefault(part % heaps, [0.0, 0.0])
+                total[0] = total[0] + n * np.frombuffer(parts, "<f4").astype(np.float64)
+                total[1] += n
+        for heap, (total, n) in found.items():
+            yield pa.RecordBatch.from_pydict({"part": [heap], "n": [n], "parts": pa.array([(total / n).astype("<f4").tobytes()], pa.binary())})
 
     model = TwoLevel(share)
-    rows = docs.mapInArrow(fitted, "n double, parts binary").repartition(16).mapInArrow(averaged, "n double, parts binary").repartition(1).mapInArrow(averaged, "n double, parts binary").collect()  # one row
+    key = F.xxhash64(F.lit(7), "id", "text")
+    dealt = docs.select("id", F.pmod(key, F.lit(copies)).alias("part"), F.xxhash64(F.lit(8), "id", "text").alias("place"), "text")
+    trained = dealt.mapInArrow(coded, "part long, place long, classes binary").repartition(copies, "part").sortWithinPartitions("part", "place").mapInArrow(fitted, "part long, n double, parts binary")
+    once = trained.repartition(heaps, F.pmod("part", F.lit(heaps))).sortWithinPartitions("part").mapInArrow(averaged, "part long, n double, parts binary")
+    rows = once.repartition(1).sortWithinPartitions("part").mapInArrow(whole, "n double, parts binary").collect()  # one row
     if rows:
         model.unpack(np.frombuffer(rows[0].parts, "<f4"))
     return model
 
 
+def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The average of averages: at most the square root of the copies."""
+    total, weight = None, 0.0
+    for b in it:
+        for n, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            x = n * np.frombuffer(parts, "<f4").astype(np.float64)
+            total, weight = x if total is None else total + x, weight + n
+    if total is not None:
+        yield pa.RecordBatch.from_pydict({"n": [weight], "parts": pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())})
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = 2, folds: int = 7) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     spark = docs.sparkSession
@@ -284,7 +347,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     order = classes.sort(class_c)
     class_c, class_v = class_c[order], class_v[order]
     share = (class_c + 1) / (class_c + 1).sum()
-    model = train(docs, classes, share, held, folds)
+    model = train(docs, classes, share, held, folds, total.n)
     log_total = np.where(classes.is_shared, np.log10(class_c + class_v + 1), 0.0)
     shared = spark.sparkContext.broadcast((classes, model, log_total, table, np.log10(table_c + 1.0)))
 

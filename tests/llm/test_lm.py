@@ -103,3 +103,10 @@ def test_odd_rows(odd, empty, clashing):
     assert lm.lm_scores(empty).count() == 0
     alone = lm.lm_scores(odd.where("doc_id = 0")).collect()
     assert alone == []
+
+
+def test_scores_do_not_depend_on_partitions(spark, real, monkeypatch):
+    monkeypatch.setattr(lm, "COPY_TOKENS", 1 << 14)  # several copies
+    scores = [{r.doc_id: r.score for r in lm.lm_scores(real.repartition(n)).collect()} for n in (1, 8)]
+    assert len(scores[0]) == real.count()
+    assert all(abs(scores[0][i] - scores[1][i]) <= 1e-6 * (1 + abs(scores[0][i])) for i in scores[0])
