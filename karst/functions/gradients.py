@@ -88,14 +88,14 @@ def mahalanobis(x, y, c=None):
 @_named("canberra")
 def canberra(x, y):
     e, t = np.abs(x - y), np.abs(x) + np.abs(y)
-    return _ratio(e, t).sum(1), _ratio(_side(x - y), t) - _ratio(e * _side(x), t * t)
+    return _ratio(e, t).sum(1), _ratio(np.sign(x - y), t) - _ratio(e * np.sign(x), t * t)
 
 
 @_named("braycurtis")
 def bray_curtis(x, y):
     t = np.abs(x + y).sum(1)
     d = _ratio(np.abs(x - y).sum(1), t)
-    return d, _ratio(_side(x - y) - _col(d), np.broadcast_to(_col(t), x.shape))
+    return d, _ratio(np.sign(x - y) - _col(d), np.broadcast_to(_col(t), x.shape))
 
 
 @_named("haversine")
@@ -129,7 +129,7 @@ def hellinger(x, y):
     d = np.where((nx == 0) & (ny == 0), 0.0, np.where((nx == 0) | (ny == 0), 1.0, np.sqrt(np.maximum(0, 1 - _ratio(s, norm)))))
     with np.errstate(divide="ignore", invalid="ignore"):
         grad = (_col(_ratio(s, 2 * nx * norm)) - np.sqrt(y / x) / _col(2 * norm)) / _col(2 * d)
-    return d, grad
+    return d, np.where(_col((nx == 0) | (ny == 0)), 0.0, grad)
 
 
 @_named("symmetric_kl")
@@ -164,7 +164,7 @@ def spherical_gaussian_energy(x, y):
     """Rows (mean 1, mean 2, spread); the energy of two round Gaussians."""
     m1, m2, s = x[:, 0] - y[:, 0], x[:, 1] - y[:, 1], np.abs(x[:, 2]) + np.abs(y[:, 2])
     q = m1 * m1 + m2 * m2
-    return q / (2 * s) + np.log(s) + np.log(2 * np.pi), np.stack([m1 / s, m2 / s, _side(x[:, 2]) * (1 / s - q / (2 * s * s))], 1)
+    return q / (2 * s) + np.log(s) + np.log(2 * np.pi), np.stack([m1 / s, m2 / s, np.sign(x[:, 2]) * (1 / s - q / (2 * s * s))], 1)
 
 
 @_named("diagonal_gaussian_energy")
@@ -174,7 +174,7 @@ def diagonal_gaussian_energy(x, y):
     flat = (s[:, 0] * s[:, 1]) == 0
     with np.errstate(divide="ignore", invalid="ignore"):
         d = ((m * m / s).sum(1) + np.log(np.abs(s[:, 0] * s[:, 1]))) / 2 + np.log(2 * np.pi)
-        g = np.concatenate([m / s, _side(x[:, 2:4]) * (1 / s - m * m / (s * s)) / 2], 1)
+        g = np.concatenate([m / s, np.sign(x[:, 2:4]) * (1 / s - m * m / (s * s)) / 2], 1)
     return np.where(flat, (m * m).sum(1), d), np.where(_col(flat), np.array([0.0, 0.0, 1.0, 1.0]), g)
 
 
@@ -185,25 +185,26 @@ def _covariance(w, h, angle):
 
 @_named("gaussian_energy")
 def gaussian_energy(x, y):
-    """Rows (mean 1, mean 2, width, height, angle); the energy of two Gaussians with the sum of their covariances."""
-    m = x[:, :2] - y[:, :2]
-    a = sum(_covariance(*z[:, 2:5].T)[0] for z in (x, y))
-    b = sum(_covariance(*z[:, 2:5].T)[1] for z in (x, y))
-    c = sum(_covariance(*z[:, 2:5].T)[2] for z in (x, y))
-    det = a * c - b * b
+    """Rows (mean 1, mean 2, width, height, angle), angles folded into a half turn: q / det + log det + log 2 pi of the summed covariances.
+
+    The gradient is that of q / det alone, with ``1e-8`` in its denominator, and takes the mixed terms of height and angle with a minus: not a true derivative, but the rule this value is used with.
+    """
+    x, y = (np.c_[z[:, :4], np.arcsin(np.sin(z[:, 4]))] for z in (x, y))
+    m1, m2 = (x[:, :2] - y[:, :2]).T
+    a, b, c = (u + v for u, v in zip(_covariance(*x[:, 2:].T), _covariance(*y[:, 2:].T)))
+    det = np.abs(a * c - b * b)
     flat = det < 1e-32
+    q = c * m1 * m1 - 2 * b * m1 * m2 + a * m2 * m2
+    w, h, angle = np.abs(x[:, 2]), np.abs(x[:, 3]), x[:, 4]
+    cc, ss, cs = np.cos(angle) ** 2, np.sin(angle) ** 2, np.cos(angle) * np.sin(angle)
+    turn = (h - w) * np.sin(2 * angle)
+    # of width, height and angle: changes of a and c, the mixed term of q, the mixed term of the determinant
+    ways = ((cc, ss, -2 * m1 * m2 * cs, -2 * b * cs), (ss, cc, -2 * m1 * m2 * cs, 2 * b * cs), (turn, -turn, 2 * m1 * m2 * (h - w) * np.cos(2 * angle), -2 * b * (h - w) * np.cos(2 * angle)))
     with np.errstate(divide="ignore", invalid="ignore"):
-        q = np.stack([c * m[:, 0] - b * m[:, 1], a * m[:, 1] - b * m[:, 0]], 1) / _col(det)
-        d = (m * q).sum(1) / 2 + np.log(np.abs(det)) / 2 + np.log(2 * np.pi)
-        # in the covariance S: (S^-1 - q q') / 2
-        ga, gc, gb = (c / det - q[:, 0] ** 2) / 2, (a / det - q[:, 1] ** 2) / 2, -b / det - q[:, 0] * q[:, 1]
-        co, si = np.cos(x[:, 4]), np.sin(x[:, 4])
-        w, h = np.abs(x[:, 2]), np.abs(x[:, 3])
-        gw = _side(x[:, 2]) * (ga * co * co + gb * co * si + gc * si * si)
-        gh = _side(x[:, 3]) * (ga * si * si - gb * co * si + gc * co * co)
-        gt = (w - h) * (-2 * ga * co * si + gb * (co * co - si * si) + 2 * gc * co * si)
-    g = np.stack([q[:, 0], q[:, 1], gw, gh, gt], 1)
-    return np.where(flat, (m * m).sum(1), d), np.where(_col(flat), np.array([0.0, 0, 1, 1, 0]), g)
+        d = q / det + np.log(det) + np.log(2 * np.pi)
+        g = [2 * (c * m1 - b * m2) / det, 2 * (a * m2 - b * m1) / det]
+        g += [((da * m2 * m2 + dc * m1 * m1 + mixed) * det - q * (da * c + dc * a + turned)) / (det * det + 1e-8) for da, dc, mixed, turned in ways]
+    return np.where(flat, m1 * m1 + m2 * m2, d), np.where(_col(flat), np.array([0.0, 0, 1, 1, 0]), np.stack(g, 1))
 
 
 def spherical_gaussian(x, y):

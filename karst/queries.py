@@ -7,12 +7,12 @@ folds add in different orders.
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from karst.plans.projection import ManifoldProjection, sparse_neighbours
+from karst import oracles
 from karst.functions import gradients, metrics, sparse
 from karst.operators import evaluate, fuzzy, graph, hubs, knn, layout
 from karst.session import stored
@@ -57,33 +57,6 @@ _PARAMS = {
 }
 
 
-def _duck(m: metrics.Metric, source: str, where: str = "") -> str:
-    """The declaration as DuckDB SQL over ``source(id, x, y)``."""
-    params = _PARAMS.get(m.name, {})
-    known = {"d": "d", "x1": "x[1]", "x2": "x[2]", "y1": "y[1]", "y2": "y[2]"} | {n: f"v_{n}" for n, _ in m.steps}
-
-    def sql(text: str, inside: bool) -> str:
-        text = text.replace("{p}", repr(float(params.get("p", 2.0))))
-        names = known | ({"a": "z[1]", "b": "z[2]", "e": "(z[1] - z[2])", "c": "z[3]" if "c" in params else "1.0"} if inside else {})
-        text = re.sub(r"\b(\d+(?:\.\d+)?)D\b", r"\1::DOUBLE", text)
-        return re.sub(r"\b[a-z]\w*\b", lambda w: names.get(w[0], w[0]), text)
-
-    ctes, last = [f"p0 AS (SELECT id, x, y, len(x)::DOUBLE AS d FROM ({source}))"], "p0"
-    for n, (name, term) in enumerate(m.steps, 1):
-        zipped = "list_zip(x, y)"
-        if "rowdot(c)" in term:
-            body = "z[1] * list_sum(list_transform(list_zip(z[2], list_transform(list_zip(x, y), lambda q: q[1] - q[2])), lambda q: q[1] * q[2]))"
-            zipped = f"list_zip(list_transform(list_zip(x, y), lambda q: q[1] - q[2]), {params['c']})"
-        else:
-            if "c" in params:
-                zipped = f"list_zip(x, y, {params['c']})"
-            body = sql(term.removeprefix("max:").strip(), True)
-        fold = "list_max" if term.startswith("max:") else "list_sum"
-        ctes.append(f"p{n} AS (SELECT *, {fold}(list_transform({zipped}, lambda z: {body})) AS v_{name} FROM {last})")
-        last = f"p{n}"
-    return ", ".join(ctes) + f" SELECT id, round({sql(m.formula, False)}, 8) AS distance FROM {last}{where}"
-
-
 def _pairs(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
     """Each row with the row of the next id: ``(id, x, y)``."""
     v = vectors(spark, sf_dir).select("id", F.expr(_SHAPES[shape][0].format(v="features")).alias("x"))
@@ -95,7 +68,7 @@ def _dense(m: metrics.Metric):
         return _pairs(spark, sf_dir, m.needs).select("id", F.round(metrics.distance(m.name, "x", "y", **_PARAMS.get(m.name, {})), 8).alias("distance"))
 
     shape = _SHAPES[m.needs][1].format(v="v")
-    return run, f"WITH {_E}, t AS (SELECT id, {shape} AS x FROM e), {_duck(m, 'SELECT a.id, a.x, b.x AS y FROM t a JOIN t b ON b.id = a.id + 1')}"
+    return run, f"WITH {_E}, {oracles.distance(m.name, f'SELECT id, {shape} AS x FROM e')}"
 
 
 def _sparse(m: metrics.Metric):
@@ -107,7 +80,7 @@ def _sparse(m: metrics.Metric):
 
     least = 3.0 if m.needs == "counts" else 0.15
     shape = f"list_transform({_SHAPES[m.needs][1].format(v='v')}, lambda z: CASE WHEN abs(z) > {least} THEN z ELSE 0 END)"
-    return run, f"WITH {_E}, t AS (SELECT id, {shape} AS x FROM e), {_duck(m, 'SELECT a.id, a.x, b.x AS y FROM t a JOIN t b ON b.id = a.id + 1')}"
+    return run, f"WITH {_E}, {oracles.distance(m.name, f'SELECT id, {shape} AS x FROM e')}"
 
 
 for _m in dict.fromkeys(metrics.REGISTRY.values()):
@@ -127,15 +100,12 @@ def _gradient(name: str):
         out = gradients.with_gradient(pairs.repartition(8, "id"), name, "x", "y")
         return out.select("id", F.round("gradient.d", 6).alias("distance"), F.posexplode("gradient.grad").alias("coordinate", "g")).select("id", "distance", "coordinate", F.round("g", 6).alias("gradient"))
 
-    return run
+    shape = f"v[1:{width}]" if width else _SHAPES[needs][1].format(v="v")
+    return run, f"WITH {_E}, {oracles.gradient(name, f'SELECT id, {shape} AS x FROM e')}"
 
 
 for _name in dict.fromkeys(next(n for n, g in gradients.GRADIENTS.items() if g is f) for f in gradients.GRADIENTS.values()):
-    QUERIES[f"grad_{_name}"] = _gradient(_name)
-for _name, _g in (("euclidean", "(x[i] - y[i]) / (1e-6 + sqrt(s))"), ("manhattan", "CASE WHEN x[i] < y[i] THEN -1.0 ELSE 1.0 END")):
-    _d = "sqrt(s)" if _name == "euclidean" else "s"
-    _t = "(z[1] - z[2]) * (z[1] - z[2])" if _name == "euclidean" else "abs(z[1] - z[2])"
-    ORACLES[f"grad_{_name}"] = f"WITH {_E}, p AS (SELECT a.id, a.v AS x, b.v AS y, list_sum(list_transform(list_zip(a.v, b.v), lambda z: {_t})) AS s FROM e a JOIN e b ON b.id = a.id + 1), q AS (SELECT *, unnest(range(1, 65)) AS i FROM p) SELECT id, round({_d}, 6) AS distance, (i - 1)::INTEGER AS coordinate, round(({_g})::DOUBLE, 6) AS gradient FROM q"
+    QUERIES[f"grad_{_name}"], ORACLES[f"grad_{_name}"] = _gradient(_name)
 
 # scalar distances -------------------------------------------------------------------
 
@@ -450,9 +420,9 @@ for _name, _mix in (("fuzzy_union", 1.0), ("fuzzy_union_mix", 0.5), ("fuzzy_inte
     ORACLES[_name] = f"WITH {_SIGMA}, {_MEMBER}, {_union_sql(_mix)} SELECT head, tail, round(weight, 6) AS weight FROM u WHERE weight <> 0"
 
 
-@_query("epochs_per_sample", f"WITH {_SIGMA}, {_MEMBER}, {_union_sql(1.0)} SELECT head, tail, round((SELECT max(weight) FROM u) / weight, 4) AS eps FROM u WHERE weight > 1e-3")
+@_query("epochs_per_sample", f"WITH {_SIGMA}, {_MEMBER}, {_union_sql(1.0)} SELECT head, tail, round((SELECT max(weight) FROM u) / weight, 4) AS eps FROM u")
 def epochs_per_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy.epochs_per_sample(fuzzy.union(_members(spark, sf_dir))).where("weight > 1e-3").select("head", "tail", F.round("eps", 4).alias("eps"))
+    return fuzzy.epochs_per_sample(fuzzy.union(_members(spark, sf_dir))).select("head", "tail", F.round("eps", 4).alias("eps"))
 
 
 _SCHEDULE = """s AS (SELECT vec_id AS id, (1 + (vec_id * 37 % 101) / 8.0)::DOUBLE AS eps FROM embeddings), t AS (SELECT id, eps, unnest(range(1, 31)) AS epoch FROM s),

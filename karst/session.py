@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which all executors share; a private folder where it is unset (tests)."""
+    """``spark.checkpoint.dir``, which all executors share; a private folder where it is unset and all runs in one process (tests)."""
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured.rstrip("/")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="karst-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 

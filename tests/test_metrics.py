@@ -63,7 +63,7 @@ def test_sparse_arithmetic(spark):
     assert r.d == [1.0, 0.0, 0.0, 2.0, 0.0]
 
 
-TRUE_GRADIENTS = ["euclidean", "seuclidean", "manhattan", "chebyshev", "mahalanobis", "canberra", "hyperboloid", "spherical_gaussian_energy", "diagonal_gaussian_energy", "gaussian_energy"]
+TRUE_GRADIENTS = ["euclidean", "seuclidean", "manhattan", "chebyshev", "mahalanobis", "canberra", "hyperboloid", "spherical_gaussian_energy", "diagonal_gaussian_energy"]
 
 
 @pytest.mark.parametrize("name", TRUE_GRADIENTS)
@@ -93,6 +93,28 @@ def test_all_gradients_have_values():
     assert v[0] == 10 and g[0].tolist() == [0, 0, -1]
 
 
+def test_gradients_at_ties_and_zeros():
+    """Equal coordinates have no slope; a zero side of hellinger has none at all."""
+    x, y = np.array([[1.0, 2, 0, -3]]), np.array([[1.0, 4, 0, -1]])
+    assert gradients.GRADIENTS["canberra"](x, y)[1][0].tolist() == pytest.approx([0, -1 / 6 - 2 / 36, 0, -1 / 4 + 2 / 16])
+    assert gradients.GRADIENTS["braycurtis"](x, y)[1][0].tolist() == pytest.approx([-4 / 12 / 12, (-1 - 4 / 12) / 12, -4 / 12 / 12, (-1 - 4 / 12) / 12])
+    zero = np.zeros((1, 3))
+    for a, b, d in ((zero, zero, 0), (zero, zero + 1, 1), (zero + 1, zero, 1)):
+        value, grad = gradients.GRADIENTS["hellinger"](a, b)
+        assert value[0] == d and not grad.any()
+
+
+def test_gaussian_energy_values():
+    x, y = np.array([[1.0, 2, 1, 2, 0.3]]), np.array([[0.0, 0, 1, 1, 0.1]])
+    value, grad = gradients.GRADIENTS["gaussian_energy"](x, y)
+    c, s = np.cos(0.3), np.sin(0.3)
+    cov = np.array([[c * c + 2 * s * s, -c * s], [-c * s, s * s + 2 * c * c]]) + np.eye(2)
+    m, inv = np.array([1.0, 2.0]), np.linalg.inv(cov)
+    assert value[0] == pytest.approx(m @ inv @ m + np.log(np.linalg.det(cov)) + np.log(2 * np.pi)) and value[0] == pytest.approx(5.695, abs=1e-3)
+    assert grad[0, :2].tolist() == pytest.approx((2 * inv @ m).tolist())
+    assert gradients.GRADIENTS["gaussian_energy"](np.zeros((1, 5)) + 1, np.zeros((1, 5)) - 0.0)[1].shape == (1, 5)
+
+
 def test_scalar_distances(spark):
     df = spark.createDataFrame([("kitten", "sitting", 2, 5), ("a", "a" * 40, 3, 3)], "a string, b string, x int, y int")
     rows = df.select(metrics.string_distance(F.col("a"), F.col("b")).alias("s"), metrics.count_distance(F.col("x"), F.col("y"), 2.0).alias("c"), metrics.sign(F.col("x") - F.col("y")).alias("g"), metrics.categorical(F.col("a"), F.col("b")).alias("k")).collect()
