@@ -8,9 +8,11 @@ prefix sums of their lengths, kept in ``index.json``. A part is written under a
 temporary name and moved when whole, so a repeated or lost task leaves either
 nothing or the same files.
 
-Words are encoded once for each worker and looked up after that: the tokenizer's
-pieces never reach across ASCII blanks, nor from a letter to punctuation, so a
-text's ids are its words' ids in turn. The cache is bounded and refills; results don't depend on it.
+Words are encoded once for each worker and looked up after that, where the
+tokenizer's pieces never reach across ASCII blanks, nor from a letter to
+punctuation, so that a text's ids are its words' ids in turn. The cache is
+bounded and refills; results don't depend on it. For other tokenizers (those
+whose pieces hold blanks, say) whole texts are encoded.
 
 Defined cases: a null text is empty and gets the end id alone; a null id sorts
 first and is stored as the least 64-bit integer (read back as null); repeated
@@ -48,8 +50,20 @@ _PUNCTUATION[ord("|")] = False  # part of the names of special tokens
 _END = b"\xff"
 
 
+#: The pattern of pieces, all else removed, of a splitter that drops blanks and parts letters from punctuation.
+WORD_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def by_words(tokenizer) -> bool:
+    """Whether the tokenizer is known to drop blanks and to part letters from punctuation."""
+    step = json.loads(tokenizer.to_str()).get("pre_tokenizer") or {}
+    step = step["pretokenizers"][0] if step.get("type") == "Sequence" else step
+    split = step.get("type") == "Split" and step.get("pattern") == {"Regex": WORD_PIECES} and step.get("behavior") == "Removed" and step.get("invert")
+    return bool(split or step.get("type") in ("Whitespace", "BertPreTokenizer"))
+
+
 class WordEncoder:
-    """Encodes whole texts through a bounded table of encoded words.
+    """Encodes whole texts, where the tokenizer allows it through a bounded table of encoded words.
 
     Besides blanks, a word ends between an ASCII letter and ASCII punctuation
     other than an apostrophe: the tokenizer always starts a new piece there.
@@ -60,6 +74,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.max_words = Tokenizer.from_file(file), end_id, max_words
+        self.by_words = by_words(self.tokenizer)
         self.clear()
 
     def clear(self) -> None:
@@ -87,6 +102,10 @@ class WordEncoder:
         """All ids, and the number of ids of each text."""
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if not self.by_words:
+            end = [] if self.end_id is None else [self.end_id]
+            each = [e.ids + end for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
         if len(self.index) > self.max_words:
             self.clear()
         raw = np.frombuffer(b" \xff ".join(texts) + b" \xff", np.uint8)

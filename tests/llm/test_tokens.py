@@ -62,3 +62,18 @@ def test_words_end_only_where_pieces_do():
     texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)]
     ids, n = tokens.WordEncoder(tokens.word_bpe(), 1).encode([t.encode() for t in texts])
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [direct(t)[2] for t in texts]
+
+
+def test_tokenizer_whose_pieces_hold_blanks(spark):
+    """Not to be split into words: whole texts are encoded."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["The quick brown  fox, jumps.\nOver", "", " a", None]
+    path = new_path(spark, "tokens")
+    tokens.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, file)
+    plain = Tokenizer.from_file(file)
+    rows = {r.doc_id: list(r.ids) for r in tokens.read_tokens(spark, path, with_ids=True).collect()}
+    assert rows == {i: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert tokens.by_words(Tokenizer.from_file(tokens.word_bpe())) and not tokens.by_words(plain)
