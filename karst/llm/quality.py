@@ -1,15 +1,17 @@
 """Quality scores from naive Bayes support vectors.
 
-Texts are sets of n-grams (words, word pairs, byte triples, and the patterns of
-equal neighbours and of length) hashed to 2**18 indicators. Each indicator is scaled by its class log-count ratio, rows are
+Texts are sets of n-grams (words, word pairs, byte triples, and 4-grams of "the
+same word again or another", which tell texts of repeated words whatever those
+are) and one indicator of length, hashed to 2**18 indicators. Each indicator is scaled by its class log-count ratio, rows are
 scaled to unit length, and a linear hinge-loss model with class weights is fitted
 to them by dual coordinate descent. A logistic curve fitted to cross-validated
 margins turns margins into scores.
 
 Labels are learnt from a sample of at most ``MAX_TRAIN`` rows outside the
 held-out fold, half of each class where there are enough; weights undo the
-balance when scores are calibrated. The fit is one task of bounded size; scoring
-is one narrow pass over all texts.
+balance when scores are calibrated. The fit is one task that holds 32 KB at most
+for each of its texts, however long (a list of indicators or a bitmap of all);
+scoring is one narrow pass over all texts.
 
 Defined cases: a null or empty text has the bias alone and so the score of a text
 without evidence; without labels of both classes every score is the share of the
@@ -53,14 +55,44 @@ def indicators(texts: list[bytes], bits: int = BITS) -> list[np.ndarray]:
     return out
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 20, seed: int = 42) -> np.ndarray:
+def packed(found: np.ndarray, bits: int = BITS) -> bytes:
+    """Sorted indexes as a list, or as a bitmap where that is shorter."""
+    if 4 * len(found) <= (1 << bits) // 8:
+        return b"\0" + found.astype("<i4").tobytes()
+    flags = np.zeros(1 << bits, bool)
+    flags[found] = True
+    return b"\1" + np.packbits(flags).tobytes()
+
+
+class Rows:
+    """Packed index lists, unpacked one at a time."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.blobs = blobs
+
+    def __len__(self) -> int:
+        return len(self.blobs)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        b = self.blobs[i]
+        return np.frombuffer(b, "<i4", offset=1) if b[0] == 0 else np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8, offset=1)))
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (self[i] for i in range(len(self)))
+
+    def take(self, which: np.ndarray) -> Rows:
+        return Rows([self.blobs[i] for i in which.tolist()])
+
+
+def dual_coordinate_descent(rows: Rows | list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 20, seed: int = 42) -> np.ndarray:
     """Weights (bias last) of min 1/2 |w|^2 + sum cost * hinge, rows being scaled indicators of unit length."""
     w, alpha, rng = np.zeros(len(scale) + 1), np.zeros(len(rows)), np.random.default_rng(seed)
-    values = [scale[r] / max(np.linalg.norm(scale[r]), 1e-12) for r in rows]
+    norms = [max(np.linalg.norm(scale[r]), 1e-12) for r in rows]
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = scale[r] / norms[i]
             g = y[i] * (w[r] @ v + w[-1]) - 1
             new = min(max(alpha[i] - g / (v @ v + 1), 0.0), cost[i])
             if (d := new - alpha[i]) != 0:
@@ -73,19 +105,21 @@ def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.nda
     return w
 
 
-def _fit(rows: list[np.ndarray], label: np.ndarray, size: int, smooth: float = 1.0, cost: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    counts = [smooth + np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(label == k)] or [np.zeros(0, int)]), minlength=size) for k in (0, 1)]
+def _fit(rows: Rows, label: np.ndarray, size: int, smooth: float = 1.0, cost: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.full((2, size), smooth)
+    for r, k in zip(rows, label.tolist()):
+        counts[k][r] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     share = np.maximum(np.bincount(label, minlength=2) / len(label), 1e-9)
     return ratio, dual_coordinate_descent(rows, ratio, 2.0 * label - 1, cost / (2 * share[label]))
 
 
-def margin(rows: list[np.ndarray], ratio: np.ndarray, w: np.ndarray) -> np.ndarray:
+def margin(rows: Rows, ratio: np.ndarray, w: np.ndarray) -> np.ndarray:
     """A text without n-grams gets the bias."""
     return np.array([ratio[r] @ w[r] / max(np.linalg.norm(ratio[r]), 1e-12) + w[-1] for r in rows])
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, size: int = 1 << BITS, folds: int = 3) -> dict:
+def fit(rows: Rows, label: np.ndarray, weight: np.ndarray, size: int = 1 << BITS, folds: int = 3) -> dict:
     """The model: ``ratio``, ``w`` and the calibration ``curve``, or a constant ``share`` if one class is missing."""
     if len(set(label.tolist())) < 2:
         return {"share": float(label[0]) if len(label) else 0.5}
@@ -95,8 +129,8 @@ def fit(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, size: int
         train, test = np.flatnonzero(held != k), np.flatnonzero(held == k)
         if len(set(label[train].tolist())) < 2:
             train = np.arange(len(rows))
-        ratio, w = _fit([rows[i] for i in train], label[train], size)
-        out[test] = margin([rows[i] for i in test], ratio, w)
+        ratio, w = _fit(rows.take(train), label[train], size)
+        out[test] = margin(rows.take(test), ratio, w)
     curve = fit_logistic(np.c_[out, np.ones(len(out))], label, weight)
     ratio, w = _fit(rows, label, size)
     return {"scaled": (ratio * w[:-1]).astype(np.float32), "square": (ratio**2).astype(np.float32), "bias": float(w[-1]), "curve": curve}
@@ -110,12 +144,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_train: int = MAX_T
         for b in it:
             texts = as_bytes(b.column(3))
             for i, j in chunks(texts):
-                found = [x.astype("<i4").tobytes() for x in indicators(texts[i:j])]
+                found = [packed(x) for x in indicators(texts[i:j])]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), pa.array(found, pa.binary())], names=["doc_id", "label", "weight", "grams"])
 
     def solve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted((x for b in it for x in zip(*(c.to_pylist() for c in b.columns))), key=lambda x: (x[0] is None, x[0] or 0, x[3]))
-        model = fit([np.frombuffer(x[3], "<i4") for x in found], np.array([x[1] for x in found], int), np.array([x[2] for x in found], float))
+        model = fit(Rows([x[3] for x in found]), np.array([x[1] for x in found], int), np.array([x[2] for x in found], float))
         yield pa.RecordBatch.from_pydict({k: [np.atleast_1d(v).astype("<f8").tobytes()] for k, v in ({"scaled": [], "square": [], "bias": [], "curve": [], "share": []} | model).items()})
 
     rows = sample.mapInArrow(grams, "doc_id long, label int, weight double, grams binary").repartition(1)  # MAX_TRAIN rows
