@@ -109,3 +109,38 @@ def discover(root: str) -> list[tuple[str, tuple[int, ...]]]:
         if all(shapes):
             found.append((name, shapes[0]))
     return found
+
+
+def load_dense(spark: SparkSession, path: str, id_col: str | None = None, label_col: str | None = None) -> DataFrame:
+    """``(id, label, features)`` from a Parquet folder or CSV files with a header: all other numeric columns, in order; nulls stay.
+
+    Without ``id_col`` rows are numbered (not gapless); without ``label_col`` labels are null.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=True) if ".csv" in path else spark.read.parquet(path)
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean")
+    used = [c for c, kind in df.dtypes if kind.split("(")[0] in numeric and c not in (id_col, label_col)]
+    return df.select(
+        (F.col(f"`{id_col}`").cast("long") if id_col else F.monotonically_increasing_id()).alias("id"),
+        (F.col(f"`{label_col}`").cast("string") if label_col else F.lit(None).cast("string")).alias("label"),
+        F.array(*[F.col(f"`{c}`").cast("double") for c in used]).alias("features"),
+    )
+
+
+def load_libsvm(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, label, features struct<indices, values>)`` from lines ``label index:value ...``; indices count from 1 in the file, from 0 here. Blank lines and comments are skipped."""
+    line = F.trim(F.regexp_replace("value", "#.*", ""))
+    parts = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), F.split(line, r"\s+").alias("p")).where(F.col("p")[0] != "")
+    pairs = F.array_sort(F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), lambda x: F.struct((F.substring_index(x, ":", 1).cast("int") - 1).alias("i"), F.substring_index(x, ":", -1).cast("double").alias("v"))))
+    return parts.select("id", F.col("p")[0].cast("double").alias("label"), pairs.alias("e")).select(
+        "id", "label", F.struct(F.transform("e", lambda x: x["i"]).alias("indices"), F.transform("e", lambda x: x["v"]).alias("values")).alias("features")
+    )
+
+
+def save_embedding(embedding: DataFrame, path: str, id_col: str = "id", position: str = "position") -> None:
+    """Writes positions in id order: Parquet, or CSV (a column for each coordinate) where the path says so."""
+    ordered = embedding.orderBy(id_col)
+    if ".csv" not in path:
+        ordered.write.mode("overwrite").parquet(path)
+        return
+    width = embedding.agg(F.max(F.size(position))).first()[0] or 0
+    ordered.select(id_col, *[F.col(position)[i].alias(f"x{i}") for i in range(width)]).write.mode("overwrite").csv(path, header=True)
