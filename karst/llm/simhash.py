@@ -9,6 +9,16 @@ bucket keeps every connection without writing out its pairs, and a bucket never
 holds more fingerprints than the ball has points (65 for r = 1), whatever the
 data.
 
+``similar_representatives`` serves another rule, Jaccard similarity of sets of
+five-word shingles. Texts at 0.8 differ in some 15 % of fingerprint bits, too many
+for one ball of 64, so each text has eight independent fingerprints of 24 bits;
+texts that meet in the ball of any of them (2 bits or fewer apart) are candidates,
+and the sets of shingles decide. A pair at 0.8 meets with probability 0.97, at
+0.9 with 0.998, whatever the size of the table. In a crowded point texts are
+sorted by their least shingle hash, so that near ones are neighbours, and each is
+compared with its predecessor: costs are linear in the point, whose rows pass
+through one task as a sorted stream that spills.
+
 Defined cases: a null or blank text has fingerprint zero and is linked like any
 other; fewer words than a shingle give one shingle of the whole sequence; a null
 id takes part in a group but is never its smallest id; an empty table gives no
@@ -26,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from karst.llm.common import as_bytes, documents, hashable, stored
+from karst.llm.common import as_bytes, documents, hashable, mix64, stored, text_batches, word_hashes
 from karst.llm.components import connected_components
 
 _FINGERPRINTS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
@@ -67,17 +77,22 @@ def _row(docs: DataFrame) -> Column:
     return F.xxhash64(*hashable(docs))
 
 
+def _ball(radius: int, bits: int) -> Column:
+    """All masks of at most ``radius`` of ``bits`` bits."""
+    masks = {0}
+    for _ in range(radius):
+        masks |= {m ^ (1 << j) for m in masks for j in range(bits)}
+    return F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in sorted(masks)])
+
+
 def ball_links(fps: DataFrame, radius: int = 1) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints of ``fps.fp`` at most ``2 * radius`` bits apart.
 
     Links are enough to connect all that are that near; not every pair is listed.
     """
-    ball = F.array(F.lit(0).cast("long"))
-    for _ in range(radius):
-        ball = F.flatten(F.transform(ball, lambda x: F.concat(F.array(x), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: x.bitwiseXOR(F.expr("1L").cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), j))))))
     meet = Window.partitionBy("point").orderBy("fp")
     return (
-        fps.select("fp", F.explode(F.transform(F.array_distinct(ball), lambda x: x.bitwiseXOR(F.col("fp")))).alias("point"))
+        fps.select("fp", F.explode(F.transform(_ball(radius, 64), lambda x: x.bitwiseXOR(F.col("fp")))).alias("point"))
         .select(F.col("fp").alias("a"), F.lag("fp").over(meet).alias("b"))
         .where(F.col("b").isNotNull() & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * radius))
         .distinct()
@@ -95,8 +110,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked, classes = _classes(docs, id_col, text_col, radius, shingle, seed)
     first = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
     stays = first.join(classes, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.row").alias("__row"))
+    return _keep(docs, stays, id_col)
+
+
+def _keep(docs: DataFrame, stays: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` named by ``(__id, __row)``, of equal ones one; joined by the row's hash alone, so that texts move once."""
     rows = docs.withColumns({"__key": F.col(id_col).cast("long"), "__hash": _row(docs)})
-    kept = rows.join(stays.hint("merge"), (F.col("__hash") == F.col("__row")) & F.col("__key").eqNullSafe(F.col("__id")), "left_semi")
+    same_id = F.expr("coalesce((__key ^ __id) = 0, __key is null and __id is null)")  # not a join key, or dropping repeated rows would move texts again
+    kept = rows.join(stays.hint("merge"), (F.col("__hash") == F.col("__row")) & same_id, "left_semi")
     return kept.dropDuplicates(["__hash", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -110,6 +131,97 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle:
     return marked, stored(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-classes")
 
 
+_SKETCH = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int32())), ("shingles", pa.list_(pa.int32()))])
+_BAND = 24  # bits of a table's fingerprint, three bytes
+_STEP = np.uint64(0x9FB21C651E98DF25)  # odd multiplier of the shingle's polynomial
+
+
+def _shingle_set(words: np.ndarray, shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles of a text's word hashes, sorted; fewer words: the one of all."""
+    n = min(shingle, len(words))
+    if not n:
+        return words
+    h = np.full(len(words) - n + 1, n, np.uint64)
+    for k in range(n):
+        h = h * _STEP + words[k : len(words) - n + 1 + k]
+    return np.unique(mix64(h))
+
+
+def _bands(shingles: np.ndarray, tables: int) -> np.ndarray:
+    """One fingerprint of 24 bits for each table: bit j is set if over half the shingles' hashes have it."""
+    lanes = -(-tables * _BAND // 64)
+    counts = np.zeros(64 * lanes, np.int64)
+    for k in range(0, len(shingles), 1 << 14):  # bounds the unpacked bits of a very long text
+        part = shingles[k : k + (1 << 14)]
+        wide = np.stack([mix64(part + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) for i in range(lanes)], axis=1)
+        counts += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    packed = np.packbits(2 * counts > len(shingles), bitorder="little")[: tables * 3].reshape(tables, 3).astype(np.int32)
+    return packed[:, 0] | packed[:, 1] << 8 | packed[:, 2] << 16
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, tables: int) -> DataFrame:
+    """``(id, row, node, bands, shingles)`` of each row.
+
+    node is a hash of the words, led by 16 bits of the least shingle hash; bands
+    are the fingerprints (none without words), shingles the set by 32-bit hashes.
+    """
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (ids, rows), texts in text_batches(it, 2):
+            words, counts = word_hashes(texts)
+            node, bands, sets = [], [], []
+            for part in np.split(words, np.cumsum(counts)[:-1]):
+                s = _shingle_set(part, shingle)
+                lead = int(s[0]) >> 48 if len(s) else 0
+                node.append(lead << 48 | xxhash.xxh3_64_intdigest(part.tobytes()) >> 16)
+                bands.append(_bands(s, tables) if len(s) else [])
+                sets.append(np.unique((s & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32))
+            nodes = pa.array(np.array(node, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids, rows, nodes, pa.array(bands, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int32()))], schema=_SKETCH)
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), _row(docs).alias("row"), F.col(text_col).alias("text")).mapInArrow(
+        batches, "id long, row long, node long, bands array<int>, shingles array<int>"
+    )
+
+
+def _verified(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose sets of shingles have the Jaccard similarity or more."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash-wanted")
+    sets = stored(marked.select("node", "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    total, common = F.size("of_a") + F.size("of_b"), F.size(F.array_intersect("of_a", "of_b"))
+    near = F.least(F.size("of_a"), F.size("of_b")) >= similarity * F.greatest(F.size("of_a"), F.size("of_b"))
+    return both.where(near & (common >= similarity * (total - common) - 1e-9)).select("a", "b")
+
+
+def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, tables: int = 8, radius: int = 1) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each group the one of smallest id (of equal ids any one, null ids last).
+
+    Groups are chains of texts whose sets of word shingles have a Jaccard
+    similarity of ``similarity`` or more; texts of the same words are one, those
+    without words too. Candidates meet in balls, each is verified: first every
+    text with the predecessor it meets most, then all that this left apart.
+    """
+    marked = stored(sketches(docs, id_col, text_col, shingle, tables), "simhash-sketches")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
+    distinct = stored(marked.groupBy("node").agg(first, F.min("bands").alias("bands")), "simhash-nodes")
+    keys = F.flatten(F.transform("bands", lambda band, t: F.transform(_ball(radius, _BAND), lambda m: (t.cast("long") * (1 << _BAND) + band).bitwiseXOR(m))))
+    meet = Window.partitionBy("point").orderBy("node")
+    met = distinct.select("node", F.explode(keys).alias("point")).select(F.col("node").alias("a"), F.lag("node").over(meet).alias("b"))
+    pairs = stored(met.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("meets")), "simhash-pairs")
+    best = pairs.groupBy("a").agg(F.max(F.struct("meets", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    links = stored(_verified(best, marked, similarity), "simhash-links")
+    part = stored(connected_components(links, "a", "b"), "simhash-parts")
+    of = lambda n: part.select(F.col("node").alias(n), F.col("component").alias(f"part_{n}"))
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
+    rest = stored(apart.select("a", "b").exceptAll(best), "simhash-rest")
+    links = stored(links.union(_verified(rest, marked, similarity)), "simhash-links")
+    part = connected_components(links, "a", "b")
+    rooted = distinct.join(part, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
+    return _keep(docs, rooted.select(F.col("first.id").alias("__id"), F.col("first.row").alias("__row")), id_col)
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

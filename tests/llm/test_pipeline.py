@@ -9,7 +9,7 @@ from karst.llm.common import documents, stored
 from tests.llm.conftest import ODD, SF
 from tests.llm.test_decontaminate import brute as brute_hits
 from tests.llm.test_mixing import brute_targets
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash import brute_similar
 from tests.llm.test_tokens import direct
 
 
@@ -25,7 +25,7 @@ def check_stages(spark, docs, sf_dir):
             want = [r for r in before if score([(r.text or "").encode()])[0] >= 0.3]
             assert Counter(rows) == Counter(want)
         elif name == "SimHash near-dedup":
-            group = brute_components([brute_fingerprint(r.text) for r in before])
+            group = brute_similar([r.text for r in before])
             of = defaultdict(list)
             for r, g in zip(before, group):
                 of[g].append((r.doc_id is None, r.doc_id or 0))

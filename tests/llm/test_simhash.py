@@ -28,6 +28,69 @@ def brute_components(fps):
     return group
 
 
+def brute_shingles(text, shingle=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    n = min(shingle, len(words))
+    return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if n else frozenset()
+
+
+def brute_similar(texts):
+    """Group of each text: chains of a Jaccard similarity of 0.8 or more of sets of five-word shingles."""
+    sets, group = [brute_shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if group[i] != group[j] and 5 * both >= 4 * (len(a) + len(sets[j]) - both):
+                group = [group[i] if g == group[j] else g for g in group]
+    return group
+
+
+def check_similar(docs):
+    rows = docs.collect()
+    least = {}
+    for r, g in zip(rows, brute_similar([r.text for r in rows])):
+        key = (r.doc_id is None, r.doc_id or 0)
+        least[g] = min(least.get(g, key), key)
+    got = simhash.similar_representatives(docs)
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(least.values())
+    assert all(r in rows for r in kept)
+
+
+def test_similar_documents_against_brute_force(spark, odd, empty, clashing):
+    for docs in (spark.read.parquet(f"{SF}/documents.parquet"), odd, empty, clashing):
+        check_similar(docs)
+
+
+def test_similar_copies_with_few_words_changed(spark):
+    """Single edits, a chain whose ends are far apart, and texts that share half their words and stay."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for n in (60, 120, 400):
+        base = [f"w{x}" for x in rng.integers(0, 5_000, n)]
+        texts.append(base)
+        for k in range(8):  # one word changed, at different places
+            texts.append(base[: 6 * k + 3] + [f"new{n}x{k}"] + base[6 * k + 4 :])
+        for k in range(4):
+            texts.append(base[: n // 2] + [f"other{x}" for x in rng.integers(0, 5_000, n // 2)])
+        step = list(base[::-1])
+        for k in range(0, n, 20):
+            step = [*step[:k], f"s{n}x{k}", *step[k + 1 :]]
+            texts.append(step)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    check_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+
+
+def test_similar_in_a_large_family(spark):
+    """Hundreds of near copies of one text are one group, found with fewer comparisons than pairs."""
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 9_000, 200)]
+    rows = [(i, " ".join([*base[:i % 190], f"v{i}", *base[i % 190 + 1 :]])) for i in range(600)]
+    kept = simhash.similar_representatives(spark.createDataFrame([*rows, (9_999, "alone in this table")], "doc_id long, text string").repartition(4))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 9_999]
+
+
 def test_query_against_brute_force(spark):
     got = {r.doc_id: r for r in simhash.op1_simhash_near_dedup(spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
