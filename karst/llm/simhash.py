@@ -133,6 +133,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle:
 
 _SKETCH = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int32())), ("shingles", pa.list_(pa.int32()))])
 _BAND = 24  # bits of a table's fingerprint, three bytes
+_FAR = 24  # of 64 bits, eight of each band: a pair at 0.8 differs in 9, with a deviation of 3
 _STEP = np.uint64(0x9FB21C651E98DF25)  # odd multiplier of the shingle's polynomial
 
 
@@ -208,8 +209,11 @@ def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: s
     distinct = stored(marked.groupBy("node").agg(first, F.min("bands").alias("bands")), "simhash-nodes")
     keys = F.flatten(F.transform("bands", lambda band, t: F.transform(_ball(radius, _BAND), lambda m: (t.cast("long") * (1 << _BAND) + band).bitwiseXOR(m))))
     meet = Window.partitionBy("point").orderBy("node")
-    met = distinct.select("node", F.explode(keys).alias("point")).select(F.col("node").alias("a"), F.lag("node").over(meet).alias("b"))
-    pairs = stored(met.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("meets")), "simhash-pairs")
+    sample = F.aggregate("bands", F.lit(0).cast("long"), lambda x, band: F.shiftleft(x, 8).bitwiseOR((band % 256).cast("long")))
+    met = distinct.select("node", sample.alias("fp"), F.explode(keys).alias("point")).select(
+        F.col("node").alias("a"), F.lag("node").over(meet).alias("b"), F.bit_count(F.col("fp").bitwiseXOR(F.lag("fp").over(meet))).alias("differ")
+    )
+    pairs = stored(met.where(F.col("differ") <= _FAR).groupBy("a", "b").agg(F.count("*").alias("meets")), "simhash-pairs")
     best = pairs.groupBy("a").agg(F.max(F.struct("meets", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     links = stored(_verified(best, marked, similarity), "simhash-links")
     part = stored(connected_components(links, "a", "b"), "simhash-parts")
