@@ -13,8 +13,8 @@ data.
 five-word shingles. Texts at 0.8 differ in some 15 % of fingerprint bits, too many
 for one ball of 64, so each text has eight independent fingerprints of 24 bits;
 texts that meet in the ball of any of them (2 bits or fewer apart) are candidates,
-and the sets of shingles decide. A pair at 0.8 meets with probability 0.97, at
-0.9 with 0.998, whatever the size of the table. In a crowded point texts are
+and the sets of shingles decide. By calculation a pair at 0.8 meets with
+probability 0.92, at 0.9 with 0.998; crowded points can lose some of these. In a crowded point texts are
 sorted by their least shingle hash, so that near ones are neighbours, and each is
 compared with its predecessor: costs are linear in the point, whose rows pass
 through one task as a sorted stream that spills.
