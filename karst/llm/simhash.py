@@ -11,10 +11,11 @@ data.
 
 ``similar_representatives`` serves another rule, Jaccard similarity of sets of
 five-word shingles. Texts at 0.8 differ in some 15 % of fingerprint bits, too many
-for one ball of 64, so each text has eight independent fingerprints of 24 bits;
-texts that meet in the ball of any of them (2 bits or fewer apart) are candidates,
-and the sets of shingles decide. By calculation a pair at 0.8 meets with
-probability 0.92, at 0.9 with 0.998; crowded points can lose some of these. In a crowded point texts are
+for one ball of 64, so each text has six independent fingerprints of 21 bits; texts
+that meet in the ball of any of them (2 bits or fewer apart) and differ in at most
+20 bits of another fingerprint of 64 are candidates, and the sets of shingles
+decide. By calculation a pair at 0.8 meets with probability 0.93, at 0.9 with
+0.998; crowded points can lose some of these. In a crowded point texts are
 sorted by their least shingle hash, so that near ones are neighbours, and each is
 compared with its predecessor: costs are linear in the point, whose rows pass
 through one task as a sorted stream that spills.
@@ -131,9 +132,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle:
     return marked, stored(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-classes")
 
 
-_SKETCH = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int32())), ("shingles", pa.list_(pa.int32()))])
-_BAND = 24  # bits of a table's fingerprint, three bytes
-_FAR = 24  # of 64 bits, eight of each band: a pair at 0.8 differs in 9, with a deviation of 3
+_SKETCH = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int32())), ("shingles", pa.list_(pa.int32()))])
+_BAND = 21  # bits of a table's fingerprint
+_FAR = 20  # of 64 bits: a pair at 0.8 differs in 9.7 with a deviation of 2.9, unlike texts in 32 with one of 4
 _STEP = np.uint64(0x9FB21C651E98DF25)  # odd multiplier of the shingle's polynomial
 
 
@@ -148,40 +149,43 @@ def _shingle_set(words: np.ndarray, shingle: int) -> np.ndarray:
     return np.unique(mix64(h))
 
 
-def _bands(shingles: np.ndarray, tables: int) -> np.ndarray:
-    """One fingerprint of 24 bits for each table: bit j is set if over half the shingles' hashes have it."""
-    lanes = -(-tables * _BAND // 64)
+def _bands(shingles: np.ndarray, tables: int) -> tuple[int, np.ndarray]:
+    """A fingerprint of 64 bits and one of ``_BAND`` for each table: a bit is set if over half the shingles' hashes have it."""
+    lanes = 1 + -(-tables * _BAND // 64)
     counts = np.zeros(64 * lanes, np.int64)
     for k in range(0, len(shingles), 1 << 14):  # bounds the unpacked bits of a very long text
         part = shingles[k : k + (1 << 14)]
         wide = np.stack([mix64(part + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) for i in range(lanes)], axis=1)
         counts += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    packed = np.packbits(2 * counts > len(shingles), bitorder="little")[: tables * 3].reshape(tables, 3).astype(np.int32)
-    return packed[:, 0] | packed[:, 1] << 8 | packed[:, 2] << 16
+    bits = 2 * counts > len(shingles)
+    fp = int(np.packbits(bits[:64], bitorder="little").view(np.int64)[0])
+    return fp, (bits[64 : 64 + tables * _BAND].reshape(tables, _BAND) @ (1 << np.arange(_BAND))).astype(np.int32)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, tables: int) -> DataFrame:
-    """``(id, row, node, bands, shingles)`` of each row.
+    """``(id, row, node, fp, bands, shingles)`` of each row.
 
-    node is a hash of the words, led by 16 bits of the least shingle hash; bands
-    are the fingerprints (none without words), shingles the set by 32-bit hashes.
+    node is a hash of the words, led by 16 bits of the least shingle hash; fp and
+    bands are the fingerprints (no bands without words), shingles the set by 32-bit hashes.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (ids, rows), texts in text_batches(it, 2):
             words, counts = word_hashes(texts)
-            node, bands, sets = [], [], []
+            node, fps, bands, sets = [], [], [], []
             for part in np.split(words, np.cumsum(counts)[:-1]):
                 s = _shingle_set(part, shingle)
                 lead = int(s[0]) >> 48 if len(s) else 0
                 node.append(lead << 48 | xxhash.xxh3_64_intdigest(part.tobytes()) >> 16)
-                bands.append(_bands(s, tables) if len(s) else [])
+                fp, band = _bands(s, tables) if len(s) else (0, [])
+                fps.append(fp)
+                bands.append(band)
                 sets.append(np.unique((s & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32))
             nodes = pa.array(np.array(node, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, rows, nodes, pa.array(bands, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int32()))], schema=_SKETCH)
+            yield pa.RecordBatch.from_arrays([ids, rows, nodes, pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int32()))], schema=_SKETCH)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), _row(docs).alias("row"), F.col(text_col).alias("text")).mapInArrow(
-        batches, "id long, row long, node long, bands array<int>, shingles array<int>"
+        batches, "id long, row long, node long, fp long, bands array<int>, shingles array<int>"
     )
 
 
@@ -196,7 +200,7 @@ def _verified(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFra
     return both.where(near & (common >= similarity * (total - common) - 1e-9)).select("a", "b")
 
 
-def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, tables: int = 8, radius: int = 1) -> DataFrame:
+def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, tables: int = 6, radius: int = 1) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of each group the one of smallest id (of equal ids any one, null ids last).
 
     Groups are chains of texts whose sets of word shingles have a Jaccard
@@ -206,11 +210,10 @@ def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     marked = stored(sketches(docs, id_col, text_col, shingle, tables), "simhash-sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    distinct = stored(marked.groupBy("node").agg(first, F.min("bands").alias("bands")), "simhash-nodes")
+    distinct = stored(marked.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("bands").alias("bands")), "simhash-nodes")
     keys = F.flatten(F.transform("bands", lambda band, t: F.transform(_ball(radius, _BAND), lambda m: (t.cast("long") * (1 << _BAND) + band).bitwiseXOR(m))))
     meet = Window.partitionBy("point").orderBy("node")
-    sample = F.aggregate("bands", F.lit(0).cast("long"), lambda x, band: F.shiftleft(x, 8).bitwiseOR((band % 256).cast("long")))
-    met = distinct.select("node", sample.alias("fp"), F.explode(keys).alias("point")).select(
+    met = distinct.select("node", "fp", F.explode(keys).alias("point")).select(
         F.col("node").alias("a"), F.lag("node").over(meet).alias("b"), F.bit_count(F.col("fp").bitwiseXOR(F.lag("fp").over(meet))).alias("differ")
     )
     pairs = stored(met.where(F.col("differ") <= _FAR).groupBy("a", "b").agg(F.count("*").alias("meets")), "simhash-pairs")
