@@ -20,6 +20,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+class Scratch:
+    """Intermediate results of one operator in a folder of their own, for those that nothing lazy reads in the end."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, new_path(spark, name)
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes ``df`` and reads it back; names may repeat."""
+        path = f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Removes the folder; to be called once what was made of it is stored elsewhere."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from karst.llm.common import as_bytes, documents, hashable, mix64, stored, text_batches, word_hashes
+from karst.llm.common import Scratch, as_bytes, documents, hashable, mix64, stored, text_batches, word_hashes
 from karst.llm.components import connected_components
 
 _FINGERPRINTS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
@@ -189,10 +189,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, tables:
     )
 
 
-def _verified(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, marked: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose sets of shingles have the Jaccard similarity or more."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash-wanted")
-    sets = stored(marked.select("node", "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
+    wanted = scratch.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    sets = scratch.stored(marked.select("node", "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
     side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     total, common = F.size("of_a") + F.size("of_b"), F.size(F.array_intersect("of_a", "of_b"))
@@ -206,27 +206,31 @@ def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Groups are chains of texts whose sets of word shingles have a Jaccard
     similarity of ``similarity`` or more; texts of the same words are one, those
     without words too. Candidates meet in balls, each is verified: first every
-    text with the predecessor it meets most, then all that this left apart.
+    text with the predecessor it meets most, then all that this left apart. The sets
+    of shingles are removed before the texts move.
     """
-    marked = stored(sketches(docs, id_col, text_col, shingle, tables), "simhash-sketches")
+    scratch = Scratch(docs.sparkSession, "simhash")
+    marked = scratch.stored(sketches(docs, id_col, text_col, shingle, tables), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    distinct = stored(marked.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("bands").alias("bands")), "simhash-nodes")
+    distinct = scratch.stored(marked.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("bands").alias("bands")), "nodes")
     keys = F.flatten(F.transform("bands", lambda band, t: F.transform(_ball(radius, _BAND), lambda m: (t.cast("long") * (1 << _BAND) + band).bitwiseXOR(m))))
     meet = Window.partitionBy("point").orderBy("node")
     met = distinct.select("node", "fp", F.explode(keys).alias("point")).select(
         F.col("node").alias("a"), F.lag("node").over(meet).alias("b"), F.bit_count(F.col("fp").bitwiseXOR(F.lag("fp").over(meet))).alias("differ")
     )
-    pairs = stored(met.where(F.col("differ") <= _FAR).groupBy("a", "b").agg(F.count("*").alias("meets")), "simhash-pairs")
+    pairs = scratch.stored(met.where(F.col("differ") <= _FAR).groupBy("a", "b").agg(F.count("*").alias("meets")), "pairs")
     best = pairs.groupBy("a").agg(F.max(F.struct("meets", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = stored(_verified(best, marked, similarity), "simhash-links")
-    part = stored(connected_components(links, "a", "b"), "simhash-parts")
+    links = scratch.stored(_verified(best, marked, similarity, scratch), "links")
+    part = scratch.stored(connected_components(links, "a", "b"), "parts")
     of = lambda n: part.select(F.col("node").alias(n), F.col("component").alias(f"part_{n}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
-    rest = stored(apart.select("a", "b").exceptAll(best), "simhash-rest")
-    links = stored(links.union(_verified(rest, marked, similarity)), "simhash-links")
+    rest = scratch.stored(apart.select("a", "b").exceptAll(best), "rest")
+    links = scratch.stored(links.union(_verified(rest, marked, similarity, scratch)), "links")
     part = connected_components(links, "a", "b")
     rooted = distinct.join(part, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
-    return _keep(docs, rooted.select(F.col("first.id").alias("__id"), F.col("first.row").alias("__row")), id_col)
+    stays = stored(rooted.select(F.col("first.id").alias("__id"), F.col("first.row").alias("__row")), "simhash-stays")
+    scratch.clear()
+    return _keep(docs, stays, id_col)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
