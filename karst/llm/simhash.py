@@ -132,7 +132,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle:
     return marked, stored(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-classes")
 
 
-_SKETCH = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int32())), ("shingles", pa.list_(pa.int32()))])
+_SKETCH = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int32()))])
+_SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int32()))])
 _BAND = 21  # bits of a table's fingerprint
 _FAR = 20  # of 64 bits: a pair at 0.8 differs in 9.7 with a deviation of 2.9, unlike texts in 32 with one of 4
 _STEP = np.uint64(0x9FB21C651E98DF25)  # odd multiplier of the shingle's polynomial
@@ -162,37 +163,52 @@ def _bands(shingles: np.ndarray, tables: int) -> tuple[int, np.ndarray]:
     return fp, (bits[64 : 64 + tables * _BAND].reshape(tables, _BAND) @ (1 << np.arange(_BAND))).astype(np.int32)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, tables: int) -> DataFrame:
-    """``(id, row, node, fp, bands, shingles)`` of each row.
+def _sets(texts: list[bytes], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(node, shingles)`` of each text; node is a hash of the words, led by 16 bits of the least shingle hash."""
+    words, counts = word_hashes(texts)
+    for part in np.split(words, np.cumsum(counts)[:-1]):
+        s = _shingle_set(part, shingle)
+        lead = int(s[0]) >> 48 if len(s) else 0
+        node = lead << 48 | xxhash.xxh3_64_intdigest(part.tobytes()) >> 16
+        yield node - (node >> 63 << 64), s
 
-    node is a hash of the words, led by 16 bits of the least shingle hash; fp and
-    bands are the fingerprints (no bands without words), shingles the set by 32-bit hashes.
-    """
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, tables: int) -> DataFrame:
+    """``(id, row, node, fp, bands)`` of each row; fp and bands are the fingerprints (no bands without words)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (ids, rows), texts in text_batches(it, 2):
-            words, counts = word_hashes(texts)
-            node, fps, bands, sets = [], [], [], []
-            for part in np.split(words, np.cumsum(counts)[:-1]):
-                s = _shingle_set(part, shingle)
-                lead = int(s[0]) >> 48 if len(s) else 0
-                node.append(lead << 48 | xxhash.xxh3_64_intdigest(part.tobytes()) >> 16)
+            node, fps, bands = [], [], []
+            for n, s in _sets(texts, shingle):
                 fp, band = _bands(s, tables) if len(s) else (0, [])
+                node.append(n)
                 fps.append(fp)
                 bands.append(band)
-                sets.append(np.unique((s & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32))
-            nodes = pa.array(np.array(node, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, rows, nodes, pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int32()))], schema=_SKETCH)
+            yield pa.RecordBatch.from_arrays([ids, rows, pa.array(node, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int32()))], schema=_SKETCH)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), _row(docs).alias("row"), F.col(text_col).alias("text")).mapInArrow(
-        batches, "id long, row long, node long, fp long, bands array<int>, shingles array<int>"
+        batches, "id long, row long, node long, fp long, bands array<int>"
     )
 
 
-def _verified(pairs: DataFrame, marked: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def shingle_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``(node, shingles)`` of each row: the set of its shingles by 32-bit hashes, made anew from the text rather than kept."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_batches(it, 0):
+            node, sets = [], []
+            for n, s in _sets(texts, shingle):
+                node.append(n)
+                sets.append(np.unique((s & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], schema=_SETS)
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(batches, "node long, shingles array<int>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose sets of shingles have the Jaccard similarity or more."""
     wanted = scratch.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    sets = scratch.stored(marked.select("node", "shingles").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = scratch.stored(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
     side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     total, common = F.size("of_a") + F.size("of_b"), F.size(F.array_intersect("of_a", "of_b"))
@@ -207,9 +223,11 @@ def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: s
     similarity of ``similarity`` or more; texts of the same words are one, those
     without words too. Candidates meet in balls, each is verified: first every
     text with the predecessor it meets most, then all that this left apart. The sets
-    of shingles are removed before the texts move.
+    of shingles are made anew for each verification, and what is stored is removed
+    before the texts move.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
+    sets = shingle_sets(docs, text_col, shingle)
     marked = scratch.stored(sketches(docs, id_col, text_col, shingle, tables), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
     distinct = scratch.stored(marked.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("bands").alias("bands")), "nodes")
@@ -220,12 +238,12 @@ def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: s
     )
     pairs = scratch.stored(met.where(F.col("differ") <= _FAR).groupBy("a", "b").agg(F.count("*").alias("meets")), "pairs")
     best = pairs.groupBy("a").agg(F.max(F.struct("meets", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = scratch.stored(_verified(best, marked, similarity, scratch), "links")
+    links = scratch.stored(_verified(best, sets, similarity, scratch), "links")
     part = scratch.stored(connected_components(links, "a", "b"), "parts")
     of = lambda n: part.select(F.col("node").alias(n), F.col("component").alias(f"part_{n}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
     rest = scratch.stored(apart.select("a", "b").exceptAll(best), "rest")
-    links = scratch.stored(links.union(_verified(rest, marked, similarity, scratch)), "links")
+    links = scratch.stored(links.union(_verified(rest, sets, similarity, scratch)), "links")
     part = connected_components(links, "a", "b")
     rooted = distinct.join(part, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
     stays = stored(rooted.select(F.col("first.id").alias("__id"), F.col("first.row").alias("__row")), "simhash-stays")
