@@ -42,3 +42,7 @@ def check_screen(metric, decimals, monkeypatch):
 
 def test_cosine_by_candidates(monkeypatch):
     check_screen("cosine", 9, monkeypatch)
+
+
+def test_manhattan_by_candidates(monkeypatch):
+    check_screen("manhattan", None, monkeypatch)
