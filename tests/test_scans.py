@@ -46,3 +46,7 @@ def test_cosine_by_candidates(monkeypatch):
 
 def test_manhattan_by_candidates(monkeypatch):
     check_screen("manhattan", None, monkeypatch)
+
+
+def test_chebyshev_by_candidates(monkeypatch):
+    check_screen("chebyshev", None, monkeypatch)
