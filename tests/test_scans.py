@@ -50,3 +50,7 @@ def test_manhattan_by_candidates(monkeypatch):
 
 def test_chebyshev_by_candidates(monkeypatch):
     check_screen("chebyshev", None, monkeypatch)
+
+
+def test_canberra_by_candidates(monkeypatch):
+    check_screen("canberra", None, monkeypatch)
