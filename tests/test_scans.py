@@ -80,3 +80,10 @@ def test_pair_correlation_without_pairs(spark, path, case):
     upper = np.triu_indices(len(ids), 1)
     assert abs(evaluate.pair_correlation_of(df).first()[0] - np.corrcoef(d[0][upper], d[1][upper])[0, 1]) < 1e-9
     assert evaluate.pair_correlation_of(df.limit(2)).first()[0] == 1  # one pair has no correlation
+
+
+@pytest.mark.parametrize("case", [0, 1, 3])
+def test_density_gap_without_pairs(spark, path, case):
+    df, ids, d = spaces(spark, case)
+    a, b = (np.exp(-v * v / 0.1).sum(1) for v in d)
+    assert abs(evaluate.density_gap_of(df).first()[0] - np.abs(a / a.sum() - b / b.sum()).sum()) < 1e-9
