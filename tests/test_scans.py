@@ -87,3 +87,11 @@ def test_density_gap_without_pairs(spark, path, case):
     df, ids, d = spaces(spark, case)
     a, b = (np.exp(-v * v / 0.1).sum(1) for v in d)
     assert abs(evaluate.density_gap_of(df).first()[0] - np.abs(a / a.sum() - b / b.sum()).sum()) < 1e-9
+
+
+@pytest.mark.parametrize("case", [0, 1, 2, 3])
+def test_trustworthiness_without_full_ranks(spark, path, case):
+    df, ids, d = spaces(spark, case, 120)
+    low = knn.exact(df.select("id", F.col("low").alias("features")), 8).where("i <> j")
+    high = evaluate.ranks(table(spark, ids, d[0]))
+    assert abs(evaluate.trustworthiness_of(df, low, 7).first()[0] - evaluate.trustworthiness(high, low, 7).first()[0]) < 1e-12
