@@ -95,3 +95,13 @@ def test_trustworthiness_without_full_ranks(spark, path, case):
     low = knn.exact(df.select("id", F.col("low").alias("features")), 8).where("i <> j")
     high = evaluate.ranks(table(spark, ids, d[0]))
     assert abs(evaluate.trustworthiness_of(df, low, 7).first()[0] - evaluate.trustworthiness(high, low, 7).first()[0]) < 1e-12
+
+
+def test_all_pairs_are_streamed(spark, path):
+    plan = QUERIES["pairwise_distances"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    _, ids = odd_vectors(2, 150)
+    df, ids, d = spaces(spark, 2, 150)
+    got = knn.all_pairs(df.select("id", F.col("high").alias("features"))).collect()
+    assert {(r.i, r.j): round(r.d, 9) for r in got} == {(int(a), int(b)): round(d[0][p, q], 9) for p, a in enumerate(ids) for q, b in enumerate(ids)}
+    assert len(got) == 150 * 150
