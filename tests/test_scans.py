@@ -105,3 +105,17 @@ def test_all_pairs_are_streamed(spark, path):
     got = knn.all_pairs(df.select("id", F.col("high").alias("features"))).collect()
     assert {(r.i, r.j): round(r.d, 9) for r in got} == {(int(a), int(b)): round(d[0][p, q], 9) for p, a in enumerate(ids) for q, b in enumerate(ids)}
     assert len(got) == 150 * 150
+
+
+def test_precomputed_keeps_few_rows_of_a_batch(spark):
+    df, ids, d = spaces(spark, 2, 100)
+    edges = table(spark, ids, d[0]).repartition(3)
+    got = {}
+    for r in knn.precomputed(edges, 6).orderBy("i", "rank").collect():
+        got.setdefault(r.i, []).append(r.j)
+    at = np.argsort(ids)
+    for p, i in enumerate(ids):
+        assert got[i] == ids[at][np.argsort(d[0][p][at], kind="stable")[:6]].tolist()
+    assert "MapInArrow" in knn.precomputed(edges, 6)._jdf.queryExecution().executedPlan().toString()
+    odd = spark.createDataFrame([(1, 2, None), (1, 3, float("nan")), (1, 4, 1.0), (None, 4, 2.0)], "i long, j long, d double")
+    assert knn.precomputed(odd, 1).count() == 2
