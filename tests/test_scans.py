@@ -119,3 +119,16 @@ def test_precomputed_keeps_few_rows_of_a_batch(spark):
     assert "MapInArrow" in knn.precomputed(edges, 6)._jdf.queryExecution().executedPlan().toString()
     odd = spark.createDataFrame([(1, 2, None), (1, 3, float("nan")), (1, 4, 1.0), (None, 4, 2.0)], "i long, j long, d double")
     assert knn.precomputed(odd, 1).count() == 2
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_tables_above_the_exact_limit_are_scanned(spark, monkeypatch, metric):
+    """Where candidates are found by rough distances the neighbours stay exact beyond EXACT_ROWS."""
+    x, ids = odd_vectors(0, 300)
+    df = spark.createDataFrame([(int(i), r) for i, r in zip(ids, x.tolist())], "id long, features array<double>")
+    monkeypatch.setattr(knn, "EXACT_ROWS", 100)
+    monkeypatch.setattr(knn, "approximate", None)
+    got = {(r.i, r["rank"]): r.j for r in knn.neighbours(df, 5, metric).collect()}
+    at = np.argsort(ids)
+    best = np.argsort(metrics.block(metric, x, x[at]), axis=1, kind="stable")[:, :5]
+    assert got == {(int(i), k + 1): int(ids[at][b]) for i, row in zip(ids, best) for k, b in enumerate(row)}
