@@ -10,15 +10,13 @@ holds more fingerprints than the ball has points (65 for r = 1), whatever the
 data.
 
 ``similar_representatives`` serves another rule, Jaccard similarity of sets of
-five-word shingles. Texts at 0.8 differ in some 15 % of fingerprint bits, too many
-for one ball of 64, so each text has six independent fingerprints of 21 bits; texts
-that meet in the ball of any of them (2 bits or fewer apart) and differ in at most
-20 bits of another fingerprint of 64 are candidates, and the sets of shingles
-decide. By calculation a pair at 0.8 meets with probability 0.93, at 0.9 with
-0.998; crowded points can lose some of these. In a crowded point texts are
-sorted by their least shingle hash, so that near ones are neighbours, and each is
-compared with its predecessor: costs are linear in the point, whose rows pass
-through one task as a sorted stream that spills.
+five-word shingles, and is exact (up to equal 32-bit hashes): under one order of all
+shingles two sets of similarity t share one of the first ``n - ceil(t n) + 1`` of each
+(prefix filter), so texts that meet in such a shingle are all candidates there are.
+Shingles frequent in a sample of texts stand last in the order, which costs or saves
+comparisons and changes no result. First each text is compared with the predecessor
+it shares most with, which joins copies in chains; then all pairs that meet and are
+still in different groups, less those that sizes or parities of the sets rule out.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any
 other; fewer words than a shingle give one shingle of the whole sequence; a null
@@ -132,10 +130,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle:
     return marked, stored(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-classes")
 
 
-_SKETCH = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int32()))])
+_SKETCH = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("parity", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int32()))])
 _SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int32()))])
-_BAND = 21  # bits of a table's fingerprint
-_FAR = 20  # of 64 bits: a pair at 0.8 differs in 9.7 with a deviation of 2.9, unlike texts in 32 with one of 4
+_PARITY = 8  # words of 64 bits
+_SAMPLE, _FREQUENT = 4_000, 100_000  # texts, shingles; for the order alone
 _STEP = np.uint64(0x9FB21C651E98DF25)  # odd multiplier of the shingle's polynomial
 
 
@@ -150,17 +148,25 @@ def _shingle_set(words: np.ndarray, shingle: int) -> np.ndarray:
     return np.unique(mix64(h))
 
 
-def _bands(shingles: np.ndarray, tables: int) -> tuple[int, np.ndarray]:
-    """A fingerprint of 64 bits and one of ``_BAND`` for each table: a bit is set if over half the shingles' hashes have it."""
-    lanes = 1 + -(-tables * _BAND // 64)
-    counts = np.zeros(64 * lanes, np.int64)
-    for k in range(0, len(shingles), 1 << 14):  # bounds the unpacked bits of a very long text
-        part = shingles[k : k + (1 << 14)]
-        wide = np.stack([mix64(part + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) for i in range(lanes)], axis=1)
-        counts += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    bits = 2 * counts > len(shingles)
-    fp = int(np.packbits(bits[:64], bitorder="little").view(np.int64)[0])
-    return fp, (bits[64 : 64 + tables * _BAND].reshape(tables, _BAND) @ (1 << np.arange(_BAND))).astype(np.int32)
+def _short(shingles: np.ndarray) -> np.ndarray:
+    """The set by 32-bit hashes, sorted."""
+    return np.unique((shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32)
+
+
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 * ``_PARITY`` cells whether it holds an odd number of shingles: two sets differ in at least as many shingles as cells."""
+    odd = np.bincount(shingles.view(np.uint32) % np.uint32(64 * _PARITY), minlength=64 * _PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _prefix(shingles: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first ``n - ceil(similarity n) + 1`` shingles in the common order: frequent ones last, rarer first, then by hash."""
+    names, counts = frequent
+    rank = np.zeros(len(shingles), np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, shingles), len(names) - 1)
+        rank = np.where(names[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, rank))[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1]]
 
 
 def _sets(texts: list[bytes], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -173,24 +179,36 @@ def _sets(texts: list[bytes], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
         yield node - (node >> 63 << 64), s
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, tables: int) -> DataFrame:
-    """``(id, row, node, fp, bands)`` of each row; fp and bands are the fingerprints (no bands without words)."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``(id, row, node, size, parity, prefix)`` of each row; no prefix without words."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (ids, rows), texts in text_batches(it, 2):
-            node, fps, bands = [], [], []
+            node, size, parity, prefix = [], [], [], []
             for n, s in _sets(texts, shingle):
-                fp, band = _bands(s, tables) if len(s) else (0, [])
+                s = _short(s)
                 node.append(n)
-                fps.append(fp)
-                bands.append(band)
-            yield pa.RecordBatch.from_arrays([ids, rows, pa.array(node, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int32()))], schema=_SKETCH)
+                size.append(len(s))
+                parity.append(_parity(s))
+                prefix.append(_prefix(s, similarity, frequent) if len(s) else s)
+            yield pa.RecordBatch.from_arrays([ids, rows, pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(parity, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int32()))], schema=_SKETCH)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), _row(docs).alias("row"), F.col(text_col).alias("text")).mapInArrow(
-        batches, "id long, row long, node long, fp long, bands array<int>"
+        batches, "id long, row long, node long, size int, parity array<long>, prefix array<int>"
     )
 
 
+def _frequent(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles, numbers of texts) of those that several of some thousand texts picked by hash share."""
+    share = min(1.0, _SAMPLE / max(1, docs.count()))
+    some = docs.where(F.pmod(_row(docs), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sets = shingle_sets(some, text_col, shingle).dropDuplicates(["node"])
+    counts = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(_FREQUENT)
+    names, n = (c.to_numpy() for c in counts.toArrow().combine_chunks().columns)
+    order = np.argsort(names)
+    return names[order], n[order]
+
+
 def shingle_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """``(node, shingles)`` of each row: the set of its shingles by 32-bit hashes, made anew from the text rather than kept."""
 
@@ -199,7 +217,7 @@ def shingle_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
             node, sets = [], []
             for n, s in _sets(texts, shingle):
                 node.append(n)
-                sets.append(np.unique((s & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32))
+                sets.append(_short(s))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], schema=_SETS)
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(batches, "node long, shingles array<int>")
@@ -216,33 +234,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scr
     return both.where(near & (common >= similarity * (total - common) - 1e-9)).select("a", "b")
 
 
-def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, tables: int = 6, radius: int = 1) -> DataFrame:
+def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``(a, b, size_a, size_b, parity_a, parity_b)`` that sizes and parities do not rule out."""
+    total = F.col("size_a") + F.col("size_b")
+    near = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9
+    differ = sum((F.bit_count(F.col("parity_a")[w].bitwiseXOR(F.col("parity_b")[w])) for w in range(_PARITY)), F.lit(0))
+    return pairs.where(near & (differ <= (1 - similarity) / (1 + similarity) * total + 1e-6))
+
+
+def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of each group the one of smallest id (of equal ids any one, null ids last).
 
     Groups are chains of texts whose sets of word shingles have a Jaccard
     similarity of ``similarity`` or more; texts of the same words are one, those
-    without words too. Candidates meet in balls, each is verified: first every
-    text with the predecessor it meets most, then all that this left apart. The sets
-    of shingles are made anew for each verification, and what is stored is removed
-    before the texts move.
+    without words too. No link between different groups is missed: every pair that
+    shares a shingle of its prefixes is compared unless its texts are in one group
+    already. The sets of shingles are made anew for each verification, and what is
+    stored is removed before the texts move.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     sets = shingle_sets(docs, text_col, shingle)
-    marked = scratch.stored(sketches(docs, id_col, text_col, shingle, tables), "sketches")
+    marked = scratch.stored(sketches(docs, id_col, text_col, shingle, similarity, _frequent(docs, text_col, shingle)), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    distinct = scratch.stored(marked.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("bands").alias("bands")), "nodes")
-    keys = F.flatten(F.transform("bands", lambda band, t: F.transform(_ball(radius, _BAND), lambda m: (t.cast("long") * (1 << _BAND) + band).bitwiseXOR(m))))
+    distinct = scratch.stored(marked.groupBy("node").agg(first, *[F.min(c).alias(c) for c in ("size", "parity", "prefix")]), "nodes")
     meet = Window.partitionBy("point").orderBy("node")
-    met = distinct.select("node", "fp", F.explode(keys).alias("point")).select(
-        F.col("node").alias("a"), F.lag("node").over(meet).alias("b"), F.bit_count(F.col("fp").bitwiseXOR(F.lag("fp").over(meet))).alias("differ")
-    )
-    pairs = scratch.stored(met.where(F.col("differ") <= _FAR).groupBy("a", "b").agg(F.count("*").alias("meets")), "pairs")
-    best = pairs.groupBy("a").agg(F.max(F.struct("meets", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    met = distinct.select("node", F.explode("prefix").alias("point")).select("point", "node", F.lag("node").over(meet).alias("before"), F.lead("node").over(meet).alias("after"))
+    met = scratch.stored(met.where("before is not null or after is not null").select("point", "node", "before"), "met")
+    pairs = met.where("before is not null").groupBy(F.col("node").alias("a"), F.col("before").alias("b")).agg(F.count("*").alias("meets"))
+    best = scratch.stored(pairs.groupBy("a").agg(F.max(F.struct("meets", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "best")
     links = scratch.stored(_verified(best, sets, similarity, scratch), "links")
     part = scratch.stored(connected_components(links, "a", "b"), "parts")
-    of = lambda n: part.select(F.col("node").alias(n), F.col("component").alias(f"part_{n}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
-    rest = scratch.stored(apart.select("a", "b").exceptAll(best), "rest")
+    parted = scratch.stored(met.join(part, "node", "left").select("point", "node", F.coalesce("component", "node").alias("part")), "parted")
+    mixed = parted.groupBy("point").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("point")
+    parted = parted.join(mixed, "point", "left_semi").join(distinct.select("node", "size", "parity"), "node")
+    side = lambda x: parted.select("point", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "part", "size", "parity")])
+    apart = side("a").join(side("b"), "point").where("node_a > node_b and part_a <> part_b")
+    rest = scratch.stored(_possible(apart, similarity).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(best, ["a", "b"], "left_anti"), "rest")
     links = scratch.stored(links.union(_verified(rest, sets, similarity, scratch)), "links")
     part = connected_components(links, "a", "b")
     rooted = distinct.join(part, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
