@@ -260,7 +260,9 @@ def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: s
     meet = Window.partitionBy("point").orderBy("node")
     met = distinct.select("node", F.explode("prefix").alias("point")).select("point", "node", F.lag("node").over(meet).alias("before"), F.lead("node").over(meet).alias("after"))
     met = scratch.stored(met.where("before is not null or after is not null").select("point", "node", "before"), "met")
+    shape = lambda n: distinct.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("parity").alias(f"parity_{n}"))
     pairs = met.where("before is not null").groupBy(F.col("node").alias("a"), F.col("before").alias("b")).agg(F.count("*").alias("meets"))
+    pairs = _possible(pairs.join(shape("a"), "a").join(shape("b"), "b"), similarity).select("a", "b", "meets")
     best = scratch.stored(pairs.groupBy("a").agg(F.max(F.struct("meets", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "best")
     links = scratch.stored(_verified(best, sets, similarity, scratch), "links")
     part = scratch.stored(connected_components(links, "a", "b"), "parts")
