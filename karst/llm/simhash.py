@@ -14,9 +14,11 @@ five-word shingles, and is exact (up to equal 32-bit hashes): under one order of
 shingles two sets of similarity t share one of the first ``n - ceil(t n) + 1`` of each
 (prefix filter), so texts that meet in such a shingle are all candidates there are.
 Shingles frequent in a sample of texts stand last in the order, which costs or saves
-comparisons and changes no result. First each text is compared with the predecessor
+comparisons and changes no result. First each text is compared with the predecessors
 it shares most with, which joins copies in chains; then all pairs that meet and are
-still in different groups, less those that sizes or parities of the sets rule out.
+still in different groups, less those that sizes or parities of the sets rule out:
+512 cells where the texts meet, then cells that grow with the sets, since long sets
+fill any fixed number. Sets of shingles move for the pairs that are left.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any
 other; fewer words than a shingle give one shingle of the whole sequence; a null
@@ -130,9 +132,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle:
     return marked, stored(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-classes")
 
 
-_SKETCH = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("parity", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int32()))])
+_SKETCH = pa.schema(
+    [("id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("parity", pa.list_(pa.int64())), ("fine", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int32()))]
+)
 _SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int32()))])
 _PARITY = 8  # words of 64 bits
+_PREDECESSORS = 4  # of a text, compared before all others
 _SAMPLE, _FREQUENT = 4_000, 100_000  # texts, shingles; for the order alone
 _STEP = np.uint64(0x9FB21C651E98DF25)  # odd multiplier of the shingle's polynomial
 
@@ -153,12 +158,18 @@ def _short(shingles: np.ndarray) -> np.ndarray:
     return np.unique((shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32)
 
 
-def _parity(shingles: np.ndarray) -> np.ndarray:
-    """For each of 64 * ``_PARITY`` cells whether it holds an odd number of shingles: two sets differ in at least as many shingles as cells."""
-    odd = np.bincount(shingles.view(np.uint32) % np.uint32(64 * _PARITY), minlength=64 * _PARITY) & 1
+def _parity(shingles: np.ndarray, words: int = _PARITY) -> np.ndarray:
+    """For each of 64 * ``words`` cells whether it holds an odd number of shingles: two sets differ in at least as many shingles as cells."""
+    odd = np.bincount(shingles.view(np.uint32) % np.uint32(64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _fine(shingles: np.ndarray) -> np.ndarray:
+    """Parities in two to four cells a shingle, their number a power of two; a set of few shingles needs no more than ``_parity`` has."""
+    words = 1 << max(0, int(np.ceil(np.log2(max(1, len(shingles)) / 32))))
+    return _parity(shingles, words) if words > _PARITY else np.zeros(0, np.int64)
+
+
 def _prefix(shingles: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first ``n - ceil(similarity n) + 1`` shingles in the common order: frequent ones last, rarer first, then by hash."""
     names, counts = frequent
@@ -180,21 +191,23 @@ def _sets(texts: list[bytes], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(id, row, node, size, parity, prefix)`` of each row; no prefix without words."""
+    """``(id, row, node, size, parity, fine, prefix)`` of each row; no prefix without words."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (ids, rows), texts in text_batches(it, 2):
-            node, size, parity, prefix = [], [], [], []
+            node, size, parity, fine, prefix = [], [], [], [], []
             for n, s in _sets(texts, shingle):
                 s = _short(s)
                 node.append(n)
                 size.append(len(s))
                 parity.append(_parity(s))
+                fine.append(_fine(s))
                 prefix.append(_prefix(s, similarity, frequent) if len(s) else s)
-            yield pa.RecordBatch.from_arrays([ids, rows, pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(parity, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int32()))], schema=_SKETCH)
+            longs = [pa.array(x, pa.list_(pa.int64())) for x in (parity, fine)]
+            yield pa.RecordBatch.from_arrays([ids, rows, pa.array(node, pa.int64()), pa.array(size, pa.int32()), *longs, pa.array(prefix, pa.list_(pa.int32()))], schema=_SKETCH)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), _row(docs).alias("row"), F.col(text_col).alias("text")).mapInArrow(
-        batches, "id long, row long, node long, size int, parity array<long>, prefix array<int>"
+        batches, "id long, row long, node long, size int, parity array<long>, fine array<long>, prefix array<int>"
     )
 
 
@@ -223,23 +236,63 @@ def shingle_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(batches, "node long, shingles array<int>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Those of the pairs ``(a, b)`` whose sets of shingles have the Jaccard similarity or more."""
+def _sets_of(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The sets of shingles of the nodes of the pairs ``(a, b)``, each once."""
     wanted = scratch.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    sets = scratch.stored(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return scratch.stored(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose sets of shingles have the Jaccard similarity or more."""
     side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     total, common = F.size("of_a") + F.size("of_b"), F.size(F.array_intersect("of_a", "of_b"))
     near = F.least(F.size("of_a"), F.size("of_b")) >= similarity * F.greatest(F.size("of_a"), F.size("of_b"))
     return both.where(near & (common >= similarity * (total - common) - 1e-9)).select("a", "b")
 
 
+def _joined(pairs: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch, few: int, rounds: int = 4) -> DataFrame:
+    """``links`` and those of the pairs ``(a, b, differ)`` that are similar, less some whose texts are in one group by others.
+
+    While there are more than ``few``, every group verifies its likeliest pair with
+    another one, and pairs inside the groups this makes need no sets to be moved;
+    after some rounds all that are left are verified.
+    """
+    for _ in range(rounds):
+        if pairs.count() <= few:
+            break
+        part = scratch.stored(connected_components(links, "a", "b"), "parts")
+        side = lambda n: part.select(F.col("node").alias(n), F.col("component").alias(f"in_{n}"))
+        parted = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "differ", F.coalesce("in_a", "a").alias("part_a"), F.coalesce("in_b", "b").alias("part_b"))
+        parted = scratch.stored(parted.where("part_a <> part_b"), "parted")
+        each = parted.select("a", "b", "differ", F.explode(F.array("part_a", "part_b")).alias("part"))
+        best = scratch.stored(each.groupBy("part").agg(F.min(F.struct("differ", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), "best")
+        links = scratch.stored(links.union(_verified(best, sets, similarity)), "links")
+        pairs = scratch.stored(parted.join(best, ["a", "b"], "left_anti").select("a", "b", "differ"), "pairs")
+    return links.union(_verified(pairs, sets, similarity))
+
+
 def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs ``(a, b, size_a, size_b, parity_a, parity_b)`` that sizes and parities do not rule out."""
-    total = F.col("size_a") + F.col("size_b")
     near = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9
     differ = sum((F.bit_count(F.col("parity_a")[w].bitwiseXOR(F.col("parity_b")[w])) for w in range(_PARITY)), F.lit(0))
-    return pairs.where(near & (differ <= (1 - similarity) / (1 + similarity) * total + 1e-6))
+    return pairs.where(near & (differ <= _apart(similarity)))
+
+
+def _apart(similarity: float) -> Column:
+    """In how many shingles sets of ``size_a`` and ``size_b`` may differ at most."""
+    return (1 - similarity) / (1 + similarity) * (F.col("size_a") + F.col("size_b")) + 1e-6
+
+
+def _sharper(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, differ)`` of those of the pairs ``(a, b)`` of near sizes that fine parities do not rule out either; the longer array is folded to the shorter."""
+    side = lambda n: distinct.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.when(F.size("fine") > 0, F.col("fine")).otherwise(F.col("parity")).alias(f"fine_{n}"))
+    n = F.least(F.size("fine_a"), F.size("fine_b"))
+    word = lambda c, w: F.get(c, w).bitwiseXOR(F.coalesce(F.get(c, w + n), F.lit(0).cast("long")))
+    differ = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, w: s + F.bit_count(word("fine_a", w).bitwiseXOR(word("fine_b", w))))
+    within = F.greatest(F.size("fine_a"), F.size("fine_b")) <= 2 * n  # always, for similarities over a half
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("differ", F.when(within, differ).otherwise(0))
+    return both.where(F.col("differ") <= _apart(similarity)).select("a", "b", (F.col("differ") / (F.col("size_a") + F.col("size_b"))).alias("differ"))
 
 
 def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -249,30 +302,33 @@ def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: s
     similarity of ``similarity`` or more; texts of the same words are one, those
     without words too. No link between different groups is missed: every pair that
     shares a shingle of its prefixes is compared unless its texts are in one group
-    already. The sets of shingles are made anew for each verification, and what is
-    stored is removed before the texts move.
+    already. The sets of shingles are made anew, twice and only for texts to be
+    verified, and what is stored is removed before the texts move.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     sets = shingle_sets(docs, text_col, shingle)
     marked = scratch.stored(sketches(docs, id_col, text_col, shingle, similarity, _frequent(docs, text_col, shingle)), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    distinct = scratch.stored(marked.groupBy("node").agg(first, *[F.min(c).alias(c) for c in ("size", "parity", "prefix")]), "nodes")
+    distinct = scratch.stored(marked.groupBy("node").agg(first, *[F.min(c).alias(c) for c in ("size", "parity", "fine", "prefix")]), "nodes")
     meet = Window.partitionBy("point").orderBy("node")
-    met = distinct.select("node", F.explode("prefix").alias("point")).select("point", "node", F.lag("node").over(meet).alias("before"), F.lead("node").over(meet).alias("after"))
-    met = scratch.stored(met.where("before is not null or after is not null").select("point", "node", "before"), "met")
-    shape = lambda n: distinct.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("parity").alias(f"parity_{n}"))
+    met = distinct.select("node", "size", F.explode("prefix").alias("point"))
+    met = met.select("point", "node", *[f(c).over(meet).alias(f"{c}_{name}") for f, name, c in ((F.lag, "b", "node"), (F.lag, "b", "size"), (F.lead, "after", "node"))], "size")
+    near = F.least("size", "size_b") >= similarity * F.greatest("size", "size_b") - 1e-9
+    met = scratch.stored(met.where("node_b is not null or node_after is not null").select("point", "node", F.when(near, F.col("node_b")).alias("before")), "met")
     pairs = met.where("before is not null").groupBy(F.col("node").alias("a"), F.col("before").alias("b")).agg(F.count("*").alias("meets"))
-    pairs = _possible(pairs.join(shape("a"), "a").join(shape("b"), "b"), similarity).select("a", "b", "meets")
-    best = scratch.stored(pairs.groupBy("a").agg(F.max(F.struct("meets", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "best")
-    links = scratch.stored(_verified(best, sets, similarity, scratch), "links")
+    most = Window.partitionBy("a").orderBy(F.desc("meets"), "b")
+    pairs = pairs.withColumn("r", F.row_number().over(most)).where(F.col("r") <= _PREDECESSORS).select("a", "b")
+    first_pairs = scratch.stored(_sharper(pairs, distinct, similarity), "first")
+    links = scratch.stored(_verified(first_pairs, _sets_of(first_pairs, sets, scratch), similarity), "links")
     part = scratch.stored(connected_components(links, "a", "b"), "parts")
     parted = scratch.stored(met.join(part, "node", "left").select("point", "node", F.coalesce("component", "node").alias("part")), "parted")
     mixed = parted.groupBy("point").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("point")
     parted = parted.join(mixed, "point", "left_semi").join(distinct.select("node", "size", "parity"), "node")
     side = lambda x: parted.select("point", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "part", "size", "parity")])
     apart = side("a").join(side("b"), "point").where("node_a > node_b and part_a <> part_b")
-    rest = scratch.stored(_possible(apart, similarity).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(best, ["a", "b"], "left_anti"), "rest")
-    links = scratch.stored(links.union(_verified(rest, sets, similarity, scratch)), "links")
+    rest = _possible(apart, similarity).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    rest = scratch.stored(_sharper(rest, distinct, similarity).join(first_pairs, ["a", "b"], "left_anti"), "rest")
+    links = scratch.stored(_joined(rest, links, _sets_of(rest, sets, scratch), similarity, scratch, distinct.count()), "links")
     part = connected_components(links, "a", "b")
     rooted = distinct.join(part, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
     stays = stored(rooted.select(F.col("first.id").alias("__id"), F.col("first.row").alias("__row")), "simhash-stays")

@@ -20,3 +20,52 @@ def test_every_pair_at_the_limit(spark):
         rows += [base, copy, [*line, *other]]
     docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(3)
     check_similar(docs)
+
+
+def test_long_texts_that_meet_are_ruled_out_before_their_sets_move(spark, monkeypatch):
+    """Unlike texts of 1,600 words, any two of which share a line of their own: more pairs than texts meet, none needs its sets."""
+    rng = np.random.default_rng(8)
+    n, plain, moved = 50, simhash._verified, []
+
+    def counted(pairs, *rest):
+        moved.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    rows = [[f"w{x}" for x in rng.integers(0, 900_000, 900)] + [f"l{min(i, j)}x{max(i, j)}y{k}" for j in range(n) if j != i for k in range(14)] for i in range(n)]
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(3)
+    assert simhash.similar_representatives(docs).count() == n
+    assert sum(moved) <= n // 10
+
+
+def test_rounds_join_what_pairs_join(spark):
+    """A family of which all pairs are given, and pairs that are not similar: groups as by all pairs, with and without rounds."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 30, 60)
+    sets = [[*base[:58].tolist(), int(5e9 + 2 * i) % (1 << 31), int(5e9 + 2 * i + 1) % (1 << 31)] for i in range(24)]
+    sets += [[*s[:50], *rng.integers(0, 1 << 30, 10).tolist()] for s in sets[:3]]  # 50 of 70 in common
+    table = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "node long, shingles array<int>")
+    pairs = [(i, j, float(abs(i - j) % 5)) for i in range(len(sets)) for j in range(i)]
+    links = spark.createDataFrame([(1, 0)], "a long, b long")
+    for few, rounds in ((0, 3), (10_000, 3)):
+        scratch = simhash.Scratch(spark, "rounds")
+        found = simhash._joined(spark.createDataFrame(pairs, "a long, b long, differ double"), links, table, 0.8, scratch, few, rounds)
+        groups = simhash.connected_components(found, "a", "b").collect()
+        assert sorted(r.node for r in groups) == list(range(24)) and {r.component for r in groups} == {0}
+
+
+def test_fine_parities_of_sets_of_different_numbers_of_cells(spark):
+    """Sets on both sides of a power of two are folded; what fine parities rule out is not similar, what is similar stays."""
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.integers(-(1 << 31), 1 << 31, m).astype(np.int32)) for m in (1000, 1100, 2100, 30, 250, 270)]
+    sets += [np.unique(np.concatenate((s[: len(s) * 9 // 10], rng.integers(-(1 << 31), 1 << 31, len(s) // 20).astype(np.int32)))) for s in sets]
+    sets += [np.concatenate((s, rng.integers(-(1 << 31), 1 << 31, len(s) // 5).astype(np.int32))) for s in sets[:6]]
+    rows = [(i, len(s), simhash._parity(s).tolist(), simhash._fine(s).tolist()) for i, s in enumerate(sets)]
+    distinct = spark.createDataFrame(rows, "node long, size int, parity array<long>, fine array<long>")
+    for similarity in (0.8, 0.4):
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if min(len(sets[i]), len(sets[j])) >= similarity * max(len(sets[i]), len(sets[j]))]
+        pairs = spark.createDataFrame(near, "a long, b long")
+        kept = {(r.a, r.b) for r in simhash._sharper(pairs, distinct, similarity).collect()}
+        alike = {(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= similarity * len(np.union1d(sets[i], sets[j]))}
+        assert len(alike) >= 6 and alike <= kept
+        assert similarity < 0.5 or len(kept) <= len(alike) + 3
