@@ -132,3 +132,23 @@ def test_tables_above_the_exact_limit_are_scanned(spark, monkeypatch, metric):
     at = np.argsort(ids)
     best = np.argsort(metrics.block(metric, x, x[at]), axis=1, kind="stable")[:, :5]
     assert got == {(int(i), k + 1): int(ids[at][b]) for i, row in zip(ids, best) for k, b in enumerate(row)}
+
+
+@pytest.mark.parametrize("metric", ["manhattan"])
+def test_rough_distances_of_opposite_corners_fit_16_bits(metric):
+    """The farthest pair there can be has the largest rough value, in tables wider than a tile."""
+    rng = np.random.default_rng(5)
+    y = rng.uniform(-1, 1, (9000, 64))
+    y[0], y[1] = 1, -1
+    rough, slack = knn._screen(metric, y[:20], y, None)
+    found = rough(0, 20).astype(float)
+    exact = metrics.block(metric, y[:20], y)
+    scale = found[0, 1] / exact[0, 1]
+    assert found.min() >= 0 and found[0].argmax() == 1 and np.abs(found / scale - exact).max() * scale <= slack
+
+
+def test_bound_of_the_nearest_holds_k_values():
+    rng = np.random.default_rng(6)
+    for n, k in ((50, 10), (73, 1), (9001, 10), (4096, 30)):
+        rough = rng.integers(0, 500, (5, n)).astype(np.int16)
+        assert ((rough <= knn._kth(rough, k)[:, None]).sum(1) >= k).all()
