@@ -134,7 +134,7 @@ def test_tables_above_the_exact_limit_are_scanned(spark, monkeypatch, metric):
     assert got == {(int(i), k + 1): int(ids[at][b]) for i, row in zip(ids, best) for k, b in enumerate(row)}
 
 
-@pytest.mark.parametrize("metric", ["manhattan"])
+@pytest.mark.parametrize("metric", ["manhattan", "chebyshev"])
 def test_rough_distances_of_opposite_corners_fit_16_bits(metric):
     """The farthest pair there can be has the largest rough value, in tables wider than a tile."""
     rng = np.random.default_rng(5)
