@@ -8,7 +8,8 @@ times. The examples most alike by exact cosine are found with an inverted index
 in blocks: for each word and block the index keeps the block's largest weight,
 whose products with the query bound the block's best cosine. Blocks are visited
 by falling bound until the bound drops below the k-th best found, so results
-equal those of a full scan. Votes weighted by distance are calibrated by a
+equal those of a full scan, which is what is done where blocks hold few postings
+of a word each. Votes weighted by distance are calibrated by a
 logistic curve over leave-one-out votes of the examples, weighted back to the
 labelled population.
 
@@ -87,6 +88,8 @@ class BlockMaxIndex:
         self.block = (key[first] % self.blocks).astype(np.int32)
         self.most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
         self.ptr = np.searchsorted(term[first], np.arange(len(idf) + 1)).astype(np.int32)
+        # where entries hold few postings, bounds cost about what they could save
+        self.bounded = len(key) > 4 * len(first)
 
     def unit(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         v = (1 + np.log(count)) * self.idf[term]
@@ -97,6 +100,8 @@ class BlockMaxIndex:
         if not len(term):
             return np.zeros(0, int), np.zeros(0)
         term, q = self.unit(term, count)
+        if not self.bounded:
+            return self.scan(term, q, k, skip)
         start, stop = self.ptr[term], self.ptr[term + 1]
         entry, weight = ranges(start, stop), np.repeat(q, stop - start)
         block = self.block[entry]
@@ -131,6 +136,18 @@ class BlockMaxIndex:
         best = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
         return places[best], cosines[best]
 
+    def scan(self, term: np.ndarray, q: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """What ``search`` finds, by all postings of the terms."""
+        start, stop = self.first[self.ptr[term]], self.first[self.ptr[term + 1]]
+        post = ranges(start, stop)
+        found = np.bincount(self.place[post], np.repeat(q, stop - start) * self.value[post], minlength=len(self.ids))
+        if skip is not None:
+            found[skip] = 0
+        least = np.partition(found, -k)[-k] if len(found) > k else 0.0
+        places = np.flatnonzero(found > max(least - 2e-12, 0))
+        best = np.lexsort((self.ids[places], -np.round(found[places], 12)))[:k]
+        return places[best], found[places[best]]
+
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic neighbours, each weighted by the inverse of its distance."""
         w = 1 / (1.05 - np.minimum(cosines, 1))

@@ -55,6 +55,25 @@ def test_block_max_search_is_exact():
         assert [(-round(x, 9), int(index.ids[p])) for p, x in zip(places, cosines)] == want
 
 
+def test_blocks_of_few_postings_are_scanned_without_bounds():
+    """As the bounded search finds, ties, fewer than k and the text itself left out included; bounds are not even made."""
+    rng = np.random.default_rng(1)
+    n, terms = 400, 30_000
+    counts = [(np.unique(rng.integers(0, terms, rng.integers(0, 60)) ** 2 // terms), None) for _ in range(n)]
+    counts = [(t, rng.integers(1, 4, len(t))) for t, _ in counts]
+    counts[7:12] = [counts[7]] * 5
+    index = toxicity.BlockMaxIndex(np.arange(n), rng.integers(0, 2, n).astype(float), rng.random(terms) + 0.1, counts)
+    assert not index.bounded
+    place = np.argsort(index.ids)
+    for k in (1, 15, 500):
+        for i, c in enumerate(counts[:60]):
+            found = []
+            for index.bounded in (True, False):
+                found += [index.search(*c, k), index.search(*c, k, skip=int(place[i]))]
+            for a, b in zip(found[:2], found[2:]):
+                assert a[0].tolist() == b[0].tolist() and np.allclose(a[1], b[1], atol=1e-12)
+
+
 @pytest.mark.parametrize("table", [0, 1 << 18])
 def test_toxicity_cosines_cover_all_words(spark, monkeypatch, table):
     """Evidence equals that of full vectors, words of no example included; only texts that share no word with an example have none."""
