@@ -52,6 +52,27 @@ def test_chebyshev_by_candidates(monkeypatch):
     check_screen("chebyshev", None, monkeypatch)
 
 
+@pytest.mark.parametrize("decimals", [None, 2])
+@pytest.mark.parametrize("case", [0, 1, 2, 3, "clusters"])
+def test_chebyshev_by_bytes(case, decimals, monkeypatch):
+    """Bytes wrap where differences exceed half the range, and say nothing beside one far row; the result is the metric's all the same."""
+    if case == "clusters":
+        x, ids = odd_vectors(4)
+        x = x * 0.1 + np.where(ids % 2, 20.0, -20.0)[:, None]
+    else:
+        x, ids = odd_vectors(case)
+    kinds, held = [], knn._tiles
+    monkeypatch.setattr(knn, "_tiles", lambda *a, **b: kinds.append((out := held(*a, **b)).dtype.name) or out)
+    got = list(knn.block_top(ids[:120], x[:120], ids, x, 10, "chebyshev", decimals))
+    order = np.argsort(ids)
+    d = metrics.block("chebyshev", x[:120], x[order])
+    d = d if decimals is None else d.round(decimals)
+    best = np.argsort(d, axis=1, kind="stable")[:, :10]
+    assert (np.concatenate([g[1] for g in got]) == ids[order][best].ravel()).all()
+    assert (np.concatenate([g[2] for g in got]) == np.take_along_axis(d, best, 1).ravel()).all()
+    assert "uint8" in kinds and (case != 0 or kinds.count("int16") < 12)  # rows that need 16 bits, one by one
+
+
 def test_canberra_by_candidates(monkeypatch):
     check_screen("canberra", None, monkeypatch)
 
