@@ -1,4 +1,6 @@
 import warnings
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from karst.functions import metrics
 from karst.operators import evaluate, fuzzy, graph, hubs, knn, layout
 from karst.plans.projection import ManifoldProjection, Params, trace
+from karst.session import shared_dir
 from karst.sources import runlog, tables
 
 SMALL = {"n_neighbors": 10, "hub_num": 15, "global_n_epochs": 11, "local_n_epochs": 11}
@@ -283,3 +286,13 @@ def test_discovery(tmp_path):
         np.save(tmp_path / name / "label.npy", np.zeros(3))
     (tmp_path / "empty").mkdir()
     assert tables.discover(str(tmp_path)) == [("a", (4,)), ("b", (3, 2))]
+
+
+def test_fit_leaves_no_edges_behind(spark):
+    """Selected, reweighted and numbered edges and places are read by nothing that a model holds."""
+    folder = Path(urlparse(shared_dir(spark)).path)
+    before = set(folder.iterdir())
+    m = ManifoldProjection(**SMALL).fit(frame(spark, blobs()))
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert not left & {"edges", "places"} and {"features", "knn", "fuzzy", "roles", "layout"} <= left
+    assert len(positions(m)) == 120 and m.graph.count() and m.neighbours.count() and m.roles.count() == 120 and m.rows.count() == 120

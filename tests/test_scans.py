@@ -77,6 +77,22 @@ def test_canberra_by_candidates(monkeypatch):
     check_screen("canberra", None, monkeypatch)
 
 
+def test_scan_of_a_table_with_itself_moves_no_vectors(spark, monkeypatch):
+    """The broadcast copy has every row, so none is shuffled, and it's in single precision where that is exact."""
+    x, ids = odd_vectors(0, 300)
+    for values, kind in ((x.astype(np.float32).astype(float), "float32"), (x, "float64")):
+        df, sent, held = spark.createDataFrame([(int(i), r) for i, r in zip(ids, values.tolist())], "id long, features array<double>"), [], spark.sparkContext.broadcast
+        monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: sent.append(v) or held(v))
+        found = knn.against_all(df, lambda x, y: knn._emit(knn.block_top(*x, *y, 5, "chebyshev")), "i long, j long, d double")
+        monkeypatch.undo()
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert [v.dtype.name for v in sent[0]] == ["int64", kind]
+        got = {(r.i, r.j, r.d) for r in found.collect()}
+        d, order = metrics.block("chebyshev", values, values), np.argsort(ids)
+        best = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :5]]
+        assert got == {(int(ids[a]), int(ids[b]), float(d[a, b])) for a in range(len(ids)) for b in best[a]}
+
+
 def spaces(spark, case, n=200):
     """(id, high, low) and the distances of all pairs of both, by difference."""
     x, ids = odd_vectors(case, n)
