@@ -296,3 +296,31 @@ def test_fit_leaves_no_edges_behind(spark):
     left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
     assert not left & {"edges", "places"} and {"features", "knn", "fuzzy", "roles", "layout"} <= left
     assert len(positions(m)) == 120 and m.graph.count() and m.neighbours.count() and m.roles.count() == 120 and m.rows.count() == 120
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_outliers_are_placed_without_moving_vectors(spark, monkeypatch, most):
+    """Outliers come to their nearest members of their own group; ids are broadcast, so vectors are not shuffled."""
+    monkeypatch.setattr(layout, "BROADCAST_IDS", most)
+    x, n, k = blobs(90), 90, 4
+    group, role = np.arange(n) % 3, np.where(np.arange(n) % 10 == 0, 0, 1)
+    role[group == 2] = 1  # a group without outliers
+    pos = np.random.default_rng(1).normal(size=(n, 2))
+    groups = spark.createDataFrame([(i, int(group[i])) for i in range(n)], "id long, group_id int")
+    roles = spark.createDataFrame([(i, int(role[i])) for i in range(n)], "id long, role int")
+    placed = spark.createDataFrame([(i, pos[i].tolist()) for i in range(n) if role[i] and i != 4], "id long, pos array<double>")  # one member without a position
+    found = layout.place_outliers(frame(spark, x), groups, roles, placed, 2, k)
+    got = {r.id: r.pos for r in found.collect()}
+    assert set(got) == {i for i in range(n) if not role[i]}
+    for i, p in got.items():
+        mem = np.array([j for j in range(n) if role[j] and group[j] == group[i] and j != 4])
+        near = mem[np.argsort(((x[mem] - x[i]) ** 2).sum(1), kind="stable")[:k]]
+        assert np.allclose(p, pos[near].mean(0))
+    if most:
+        held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the tables were large
+        try:
+            plan = layout.place_outliers(frame(spark, x), groups, roles, placed, 2, k)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+        assert "SortMergeJoin" not in plan
