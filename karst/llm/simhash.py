@@ -13,12 +13,15 @@ data.
 five-word shingles, and is exact (up to equal 32-bit hashes): under one order of all
 shingles two sets of similarity t share one of the first ``n - ceil(t n) + 1`` of each
 (prefix filter), so texts that meet in such a shingle are all candidates there are.
-Shingles frequent in a sample of texts stand last in the order, which costs or saves
-comparisons and changes no result. First each text is compared with the predecessors
-it shares most with, which joins copies in chains; then all pairs that meet and are
-still in different groups, less those that sizes or parities of the sets rule out:
-512 cells where the texts meet, then cells that grow with the sets, since long sets
-fill any fixed number. Sets of shingles move for the pairs that are left.
+Shingles frequent in a share of the texts stand last in the order, which costs or saves
+comparisons and changes no result; the share is fixed, so that what counts as rare does
+not grow with the table. First each text is compared with the predecessors it shares
+most with, which joins copies in chains; where texts meet they stand in the order of
+minimal hashes, another in each of eight kinds of points, so that like texts follow one
+another. Then come all pairs that meet and are still in different groups, less those
+that sizes, places or parities of the sets rule out: what stands before the first
+shingle in common differs; 512 cells where the texts meet and 2,048 if both are long,
+then cells that grow with the sets, since long sets fill any fixed number. Sets of shingles move for the pairs that are left.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any
 other; fewer words than a shingle give one shingle of the whole sequence; a null
@@ -133,12 +136,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle:
 
 
 _SKETCH = pa.schema(
-    [("id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("parity", pa.list_(pa.int64())), ("fine", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int32()))]
+    [("id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("minima", pa.int64()), ("parity", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64())), ("fine", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int32()))]
 )
 _SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int32()))])
 _PARITY = 8  # words of 64 bits
+_LONG, _WIDE = 1_000, 32  # shingles of a set of which parities in more such words are kept as well
 _PREDECESSORS = 4  # of a text, compared before all others
-_SAMPLE, _FREQUENT = 4_000, 100_000  # texts, shingles; for the order alone
+_SAMPLE, _SHARE, _FREQUENT = 4_000, 1 / 8, 100_000  # texts at least, of all texts, shingles; for the order alone
+_SHUFFLES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09], np.uint32)  # odd multipliers
 _STEP = np.uint64(0x9FB21C651E98DF25)  # odd multiplier of the shingle's polynomial
 
 
@@ -170,6 +175,12 @@ def _fine(shingles: np.ndarray) -> np.ndarray:
     return _parity(shingles, words) if words > _PARITY else np.zeros(0, np.int64)
 
 
+def _minima(shingles: np.ndarray) -> int:
+    """A byte of the minimal shingle in each of eight orders: the likelier equal the more two sets have in common."""
+    least = np.array([(shingles.view(np.uint32) * m).min() for m in _SHUFFLES]) if len(shingles) else np.zeros(8, np.uint32)
+    return int(((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).view(np.int64)[0])
+
+
 def _prefix(shingles: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first ``n - ceil(similarity n) + 1`` shingles in the common order: frequent ones last, rarer first, then by hash."""
     names, counts = frequent
@@ -191,29 +202,32 @@ def _sets(texts: list[bytes], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(id, row, node, size, parity, fine, prefix)`` of each row; no prefix without words."""
+    """``(id, row, node, size, minima, parity, wide, fine, prefix)`` of each row; no prefix without words."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (ids, rows), texts in text_batches(it, 2):
-            node, size, parity, fine, prefix = [], [], [], [], []
+            node, size, minima, parity, wide, fine, prefix = [], [], [], [], [], [], []
             for n, s in _sets(texts, shingle):
                 s = _short(s)
                 node.append(n)
                 size.append(len(s))
+                minima.append(_minima(s))
                 parity.append(_parity(s))
+                wide.append(_parity(s, _WIDE) if len(s) > _LONG else None)
                 fine.append(_fine(s))
                 prefix.append(_prefix(s, similarity, frequent) if len(s) else s)
-            longs = [pa.array(x, pa.list_(pa.int64())) for x in (parity, fine)]
-            yield pa.RecordBatch.from_arrays([ids, rows, pa.array(node, pa.int64()), pa.array(size, pa.int32()), *longs, pa.array(prefix, pa.list_(pa.int32()))], schema=_SKETCH)
+            longs = [pa.array(x, pa.list_(pa.int64())) for x in (parity, wide, fine)]
+            plain = [pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(minima, pa.int64())]
+            yield pa.RecordBatch.from_arrays([ids, rows, *plain, *longs, pa.array(prefix, pa.list_(pa.int32()))], schema=_SKETCH)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), _row(docs).alias("row"), F.col(text_col).alias("text")).mapInArrow(
-        batches, "id long, row long, node long, size int, parity array<long>, fine array<long>, prefix array<int>"
+        batches, "id long, row long, node long, size int, minima long, parity array<long>, wide array<long>, fine array<long>, prefix array<int>"
     )
 
 
 def _frequent(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted shingles, numbers of texts) of those that several of some thousand texts picked by hash share."""
-    share = min(1.0, _SAMPLE / max(1, docs.count()))
+    """(sorted shingles, numbers of texts) of those that several of the texts picked by hash share."""
+    share = min(1.0, max(_SHARE, _SAMPLE / max(1, docs.count())))
     some = docs.where(F.pmod(_row(docs), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     sets = shingle_sets(some, text_col, shingle).dropDuplicates(["node"])
     counts = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(_FREQUENT)
@@ -273,10 +287,18 @@ def _joined(pairs: DataFrame, links: DataFrame, sets: DataFrame, similarity: flo
 
 
 def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs ``(a, b, size_a, size_b, parity_a, parity_b)`` that sizes and parities do not rule out."""
+    """Those of the pairs ``(a, b, size_a, size_b, parity_a, parity_b, wide_a, wide_b)`` that sizes and parities do not rule out; wide ones are null for sets that are not long."""
     near = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9
     differ = sum((F.bit_count(F.col("parity_a")[w].bitwiseXOR(F.col("parity_b")[w])) for w in range(_PARITY)), F.lit(0))
-    return pairs.where(near & (differ <= _apart(similarity)))
+    each = F.zip_with("wide_a", "wide_b", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    of_long = F.coalesce(F.aggregate(each, F.lit(0), lambda n, x: n + x), F.lit(0))
+    return pairs.where(near & (differ <= _apart(similarity)) & (of_long <= _apart(similarity)))
+
+
+def _early(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs that may be similar if the shingle at ``place_a`` and ``place_b`` is the first in common, which it is where a similar pair meets first."""
+    common = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b"))
+    return pairs.where(F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= common - 1e-6)
 
 
 def _apart(similarity: float) -> Column:
@@ -309,24 +331,25 @@ def similar_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: s
     sets = shingle_sets(docs, text_col, shingle)
     marked = scratch.stored(sketches(docs, id_col, text_col, shingle, similarity, _frequent(docs, text_col, shingle)), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    distinct = scratch.stored(marked.groupBy("node").agg(first, *[F.min(c).alias(c) for c in ("size", "parity", "fine", "prefix")]), "nodes")
-    meet = Window.partitionBy("point").orderBy("node")
-    met = distinct.select("node", "size", F.explode("prefix").alias("point"))
-    met = met.select("point", "node", *[f(c).over(meet).alias(f"{c}_{name}") for f, name, c in ((F.lag, "b", "node"), (F.lag, "b", "size"), (F.lead, "after", "node"))], "size")
+    distinct = scratch.stored(marked.groupBy("node").agg(first, *[F.min(c).alias(c) for c in ("size", "minima", "parity", "wide", "fine", "prefix")]), "nodes")
+    turned = F.expr("shiftleft(minima, 8 * pmod(point, 8)) | shiftrightunsigned(minima, 64 - 8 * pmod(point, 8))")
+    meet = Window.partitionBy("point").orderBy("turned", "node")
+    met = distinct.select("node", "size", "minima", F.posexplode("prefix").alias("place", "point")).select("point", "node", "size", "place", turned.alias("turned"))
+    met = met.select("point", "node", "place", *[f(c).over(meet).alias(f"{c}_{name}") for f, name, c in ((F.lag, "b", "node"), (F.lag, "b", "size"), (F.lead, "after", "node"))], "size")
     near = F.least("size", "size_b") >= similarity * F.greatest("size", "size_b") - 1e-9
-    met = scratch.stored(met.where("node_b is not null or node_after is not null").select("point", "node", F.when(near, F.col("node_b")).alias("before")), "met")
+    met = scratch.stored(met.where("node_b is not null or node_after is not null").select("point", "node", "place", F.when(near, F.col("node_b")).alias("before")), "met")
     pairs = met.where("before is not null").groupBy(F.col("node").alias("a"), F.col("before").alias("b")).agg(F.count("*").alias("meets"))
     most = Window.partitionBy("a").orderBy(F.desc("meets"), "b")
     pairs = pairs.withColumn("r", F.row_number().over(most)).where(F.col("r") <= _PREDECESSORS).select("a", "b")
     first_pairs = scratch.stored(_sharper(pairs, distinct, similarity), "first")
     links = scratch.stored(_verified(first_pairs, _sets_of(first_pairs, sets, scratch), similarity), "links")
     part = scratch.stored(connected_components(links, "a", "b"), "parts")
-    parted = scratch.stored(met.join(part, "node", "left").select("point", "node", F.coalesce("component", "node").alias("part")), "parted")
+    parted = scratch.stored(met.join(part, "node", "left").select("point", "node", "place", F.coalesce("component", "node").alias("part")), "parted")
     mixed = parted.groupBy("point").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("point")
-    parted = parted.join(mixed, "point", "left_semi").join(distinct.select("node", "size", "parity"), "node")
-    side = lambda x: parted.select("point", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "part", "size", "parity")])
+    parted = parted.join(mixed, "point", "left_semi").join(distinct.select("node", "size", "parity", "wide"), "node")
+    side = lambda x: parted.select("point", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "part", "place", "size", "parity", "wide")])
     apart = side("a").join(side("b"), "point").where("node_a > node_b and part_a <> part_b")
-    rest = _possible(apart, similarity).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    rest = _possible(_early(apart, similarity), similarity).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     rest = scratch.stored(_sharper(rest, distinct, similarity).join(first_pairs, ["a", "b"], "left_anti"), "rest")
     links = scratch.stored(_joined(rest, links, _sets_of(rest, sets, scratch), similarity, scratch, distinct.count()), "links")
     part = connected_components(links, "a", "b")

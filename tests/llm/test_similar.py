@@ -69,3 +69,64 @@ def test_fine_parities_of_sets_of_different_numbers_of_cells(spark):
         alike = {(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= similarity * len(np.union1d(sets[i], sets[j]))}
         assert len(alike) >= 6 and alike <= kept
         assert similarity < 0.5 or len(kept) <= len(alike) + 3
+
+
+def test_pairs_that_meet_stay_few(spark, monkeypatch):
+    """Near copies at the limit, and texts any forty of which share a line that a small sample misses: groups as by all pairs, of which few are made."""
+    rng = np.random.default_rng(11)
+    base = [f"b{x}" for x in rng.integers(0, 90_000, 200)]
+    rows = []
+    for n in range(150):  # 176 of 216 shingles in common after two and two edits, fewer after three
+        copy = list(base)
+        for k in rng.choice(40, 2 + n % 2, replace=False):
+            copy[5 * k] = f"e{n}x{k}"
+        rows.append(copy)
+    lines = [[f"line{i}x{k}" for k in range(9)] for i in range(60)]
+    for n in range(400):
+        shared = [w for i in rng.choice(60, 6, replace=False) for w in lines[i]]
+        rows.append([*shared, *[f"v{x}" for x in rng.integers(0, 900_000, 200)]])
+    plain, made = simhash._possible, []
+
+    def counted(pairs, *rest):
+        made.append(plain(pairs, *rest).count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_possible", counted)
+    monkeypatch.setattr(simhash, "_SAMPLE", 10)
+    check_similar(spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(3))
+    assert sum(made) <= 8_000  # 32,617 with the order by some texts and without places
+
+
+def test_long_sets_are_ruled_out_where_they_meet(spark):
+    """Unlike sets that fill 512 cells; what is similar stays, whether both are long or one."""
+    rng = np.random.default_rng(12)
+    new = lambda m: rng.integers(-(1 << 31), 1 << 31, m).astype(np.int32)
+    sets = [np.unique(new(m)) for m in (1500, 1600, 1950, 1030, 1010, 950)]
+    sets += [np.unique(np.concatenate((s[: len(s) * 19 // 20], new(len(s) // 20)))) for s in sets]
+    sets += [sets[3][: len(sets[3]) * 9 // 10]]  # not long, of one that is
+    rows = [(i, len(s), simhash._parity(s).tolist(), simhash._parity(s, simhash._WIDE).tolist() if len(s) > simhash._LONG else None) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "node long, size int, parity array<long>, wide array<long>")
+    side = lambda x: table.select(*[table[c].alias(f"{c}_{x}") for c in table.columns])
+    kept = {(r.node_a, r.node_b) for r in simhash._possible(side("a").join(side("b")).where("node_a > node_b"), 0.8).collect()}
+    alike = {(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    both_long = {(i, j) for i, j in kept if min(len(sets[i]), len(sets[j])) > simhash._LONG}
+    assert len(alike) >= 7 and alike <= kept and both_long <= alike
+
+
+def test_places_rule_out_late_meetings_alone(spark):
+    """At the first shingle in common no similar pair is ruled out; unlike pairs are, where much stands before it."""
+    rng = np.random.default_rng(13)
+    none = (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    rows, alike = [], 0
+    for n in range(300):
+        a = np.unique(rng.integers(-(1 << 31), 1 << 31, 20 + n).astype(np.int32))
+        b = np.unique(np.concatenate((rng.permutation(a)[: int(len(a) * rng.uniform(0.85, 1))], rng.integers(-(1 << 31), 1 << 31, int(len(a) * rng.uniform(0, 0.1))).astype(np.int32))))
+        similar = len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+        pa, pb = (simhash._prefix(x, 0.8, none) for x in (a, b))
+        first = np.intersect1d(pa, pb)[:1]  # the order is by hash here
+        if similar:
+            assert len(first)
+            alike += 1
+            rows.append((n, len(a), len(b), int(np.flatnonzero(pa == first)[0]), int(np.flatnonzero(pb == first)[0])))
+    pairs = spark.createDataFrame([*rows, (-1, 100, 100, 12, 12), (-2, 100, 80, 0, 1)], "n int, size_a int, size_b int, place_a int, place_b int")
+    assert alike >= 100 and {r.n for r in simhash._early(pairs, 0.8).collect()} == {r[0] for r in rows}
