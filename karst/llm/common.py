@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +149,21 @@ def text_batches(it, arrays: int = 1):
             yield [b.column(c).slice(i, j - i) for c in range(arrays)], texts[i:j]
 
 
+def lean(batches: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``batches`` for ``mapInArrow``, after which the worker gives back what it has freed: workers stay for the next stage, idle beside it if that has no Python."""
+
+    def run(it: Iterator) -> Iterator:
+        yield from batches(it)
+        _powers.clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+    return run
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], fold: int = 5, seed: int = 42) -> DataFrame:
     """``(doc_id, label, text, weight)`` of at most ``per_class[label]`` labelled rows of each class outside the held-out fold.
 

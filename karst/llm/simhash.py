@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from karst.llm.common import Scratch, as_bytes, documents, hashable, mix64, stored, text_batches, word_hashes
+from karst.llm.common import Scratch, as_bytes, documents, hashable, lean, mix64, stored, text_batches, word_hashes
 from karst.llm.components import connected_components
 
 _FINGERPRINTS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
@@ -221,7 +221,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
             yield pa.RecordBatch.from_arrays([ids, rows, *plain, *longs, pa.array(prefix, pa.list_(pa.int32()))], schema=_SKETCH)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), _row(docs).alias("row"), F.col(text_col).alias("text")).mapInArrow(
-        batches, "id long, row long, node long, size int, minima long, parity array<long>, wide array<long>, fine array<long>, prefix array<int>"
+        lean(batches), "id long, row long, node long, size int, minima long, parity array<long>, wide array<long>, fine array<long>, prefix array<int>"
     )
 
 
@@ -247,7 +247,7 @@ def shingle_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
                 sets.append(_short(s))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], schema=_SETS)
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(batches, "node long, shingles array<int>")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(batches), "node long, shingles array<int>")
 
 
 def _sets_of(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:

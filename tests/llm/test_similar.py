@@ -1,8 +1,9 @@
 """The near-duplicate stage finds every pair at the similarity, however texts meet."""
 
 import numpy as np
+import pyarrow as pa
 
-from karst.llm import simhash
+from karst.llm import common, simhash
 from tests.llm.test_simhash import check_similar
 
 
@@ -130,3 +131,21 @@ def test_places_rule_out_late_meetings_alone(spark):
             rows.append((n, len(a), len(b), int(np.flatnonzero(pa == first)[0]), int(np.flatnonzero(pb == first)[0])))
     pairs = spark.createDataFrame([*rows, (-1, 100, 100, 12, 12), (-2, 100, 80, 0, 1)], "n int, size_a int, size_b int, place_a int, place_b int")
     assert alike >= 100 and {r.n for r in simhash._early(pairs, 0.8).collect()} == {r[0] for r in rows}
+
+
+def test_workers_give_back_what_they_freed():
+    """The rows are those of the plain function; afterwards neither tables of powers nor freed texts stay with the worker."""
+    texts = pa.array([" ".join(f"w{i}x{k}" for k in range(300)) for i in range(3_000)])
+    got = []
+
+    def batches(it):
+        for b in it:
+            words, counts = common.word_hashes(common.as_bytes(b.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(counts)], ["n"])
+
+    source = lambda: iter([pa.RecordBatch.from_arrays([texts], ["text"])] * 3)
+    want = [b.column(0).to_pylist() for b in batches(source())]
+    assert common._powers
+    for b in common.lean(batches)(source()):
+        got.append(b.column(0).to_pylist())
+    assert got == want and got[0] == [300] * 3_000 and not common._powers
