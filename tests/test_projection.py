@@ -324,3 +324,44 @@ def test_outliers_are_placed_without_moving_vectors(spark, monkeypatch, most):
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
         assert "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_outliers_meet_only_their_group_and_in_blocks(spark, monkeypatch, small):
+    """Distances of outliers to members are never rows of a join; ties go to the smaller id, groups without members have none."""
+    if not small:
+        monkeypatch.setattr(knn, "BROADCAST_BYTES", 0)
+    rng = np.random.default_rng(3)
+    n, k = 400, 3
+    x, group, out = rng.integers(0, 3, (n, 4)).astype(float), rng.integers(0, 4, n), rng.random(n) < 0.4
+    group[n - 1], out[n - 1] = 9, True
+    df = spark.createDataFrame([(i, int(group[i]), x[i].tolist(), bool(out[i])) for i in range(n)], "id long, group_id int, features array<double>, out boolean").repartition(3)
+    found = knn.in_groups(df.where("not out"), df.where("out"), k)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not (small and "Join" in plan)
+    got = {(r.i, r["rank"]): r.j for r in found.collect()}
+    want = {}
+    for i in np.flatnonzero(out):
+        mem = np.flatnonzero(~out & (group == group[i]))
+        want |= {(int(i), r + 1): int(j) for r, j in enumerate(mem[np.argsort(((x[mem] - x[i]) ** 2).sum(1), kind="stable")[:k]])}
+    assert got == want
+    groups, roles = df.select("id", "group_id"), df.select("id", F.when(F.col("out"), 0).otherwise(1).alias("role"))
+    placed = df.where("not out").select("id", F.slice("features", 1, 2).alias("pos"))
+    pos = {r.id: r.pos for r in layout.place_outliers(df.select("id", "features"), groups, roles, placed, 2, k).collect()}
+    assert set(pos) == {i for i, _ in want} and all(np.allclose(p, np.mean([x[want[i, r]][:2] for r in (1, 2, 3)], axis=0)) for i, p in pos.items())
+
+
+def test_long_closures_start_no_job_for_each_round(spark, monkeypatch):
+    """A path of many rounds is walked on the driver; the rounds of joins say the same."""
+    pairs = [(i, i + 1) for i in range(20)] + [(3, 0), (7, 30), (30, 31), (40, 41), (41, 0)]
+    g, start = spark.createDataFrame(pairs, "i long, j long"), spark.createDataFrame([(0,), (41,), (99,), (0,)], "id long")
+    jobs, held = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name="step": jobs.append(name) or held(df, name))
+    walked = graph.closure(start, g)
+    assert not jobs
+    joined = graph.closure(start, g, driver_edges=0)
+    rounds = [{r.id: r["round"] for r in t.collect()} for t in (walked, joined)]
+    assert walked.schema.simpleString() == joined.schema.simpleString() == "struct<id:bigint,round:int>"
+    assert rounds[0] == rounds[1] == {i: i for i in range(21)} | {41: 0, 99: 0, 30: 8, 31: 9}
+    assert walked.count() == 25
+    assert {r.id for r in graph.closure(start.limit(0), g).collect()} == set() and graph.closure(start, g.limit(0)).count() == 3
