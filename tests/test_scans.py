@@ -158,6 +158,30 @@ def test_precomputed_keeps_few_rows_of_a_batch(spark):
     assert knn.precomputed(odd, 1).count() == 2
 
 
+@pytest.mark.parametrize("case", [0, 1, 2, 3])
+def test_pairs_that_cannot_be_near_stay_in_the_worker(spark, path, case):
+    """Neighbours of distances made here are those of all distances, and few of the pairs become rows."""
+    df, ids, d = spaces(spark, case, 300)
+    v, at = df.select("id", F.col("high").alias("features")), np.argsort(ids)
+    near = knn.all_pairs(v, nearest=6)
+    assert near.count() <= 6 * 300 * (1 if knn.BROADCAST_BYTES else 2)
+    got = {(r.i, r["rank"]): (r.j, r.d) for r in knn.precomputed(near, 6).collect()}
+    best = np.argsort(d[0][:, at], axis=1, kind="stable")[:, :6]
+    assert got == {(int(i), k + 1): (int(ids[at][b]), float(d[0][p, at[b]])) for p, i in enumerate(ids) for k, b in enumerate(best[p])}
+
+
+def test_euclidean_bound_with_vectors_that_are_no_numbers():
+    """A vector with NaN or infinity is nobody's neighbour and takes none from others, wherever it stands."""
+    x, ids = odd_vectors(0)
+    x[::3, 0], x[1, 2] = np.nan, np.inf
+    sound = np.isfinite(x).all(1)
+    asked = np.flatnonzero(sound)[:50]
+    got = list(knn.block_top(ids[asked], x[asked], ids, x, 10, "euclidean"))
+    y, y_ids = x[sound][np.argsort(ids[sound])], np.sort(ids[sound])
+    best = np.argsort(metrics.block("euclidean", x[asked], y), axis=1, kind="stable")[:, :10]
+    assert (np.concatenate([g[1] for g in got]) == y_ids[best].ravel()).all()
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "cosine"])
 def test_tables_above_the_exact_limit_are_scanned(spark, monkeypatch, metric):
     """Where candidates are found by rough distances the neighbours stay exact beyond EXACT_ROWS."""
