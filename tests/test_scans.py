@@ -144,6 +144,18 @@ def test_all_pairs_are_streamed(spark, path):
     assert len(got) == 150 * 150
 
 
+def test_pairs_come_in_short_runs_of_j(monkeypatch):
+    """A page of a written file holds many runs of the same j, so it has little to keep beside the distances; no pair is left out or doubled."""
+    monkeypatch.setattr(knn, "against_all", lambda df, step, schema: step)
+    x, ids = odd_vectors(0, 1500, 3)
+    batches = [[c.to_numpy() for c in b.columns] for b in knn.all_pairs(None, 6)([ids[:150], x[:150]], [ids, x])]
+    assert max(len(np.unique(j)) for _, j, _ in batches) <= 512 and max(len(i) for i, _, _ in batches) <= 1 << 15
+    i, j, d = (np.concatenate(c) for c in zip(*batches))
+    assert len(i) == 150 * 1500 == len(set(zip(i.tolist(), j.tolist())))
+    place = np.argsort(ids)
+    assert np.abs(d - np.sqrt(((x[place[i]] - x[place[j]]) ** 2).sum(1))).max() <= 5.1e-7
+
+
 def test_precomputed_keeps_few_rows_of_a_batch(spark):
     df, ids, d = spaces(spark, 2, 100)
     edges = table(spark, ids, d[0]).repartition(3)
